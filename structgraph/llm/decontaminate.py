@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from structgraph.llm.common import table
 
-MASKS = ("111101111", "1101011011", "11101101011")
-#: For items shorter than the longest mask.
-SHORT = "11111"
 WINDOW = 13
+#: Whichever two of WINDOW tokens are replaced, one of these masks ignores both somewhere in the window.
+MASKS = ("101110111", "1110111001", "1110010111")
+#: For items shorter than the window: the same, for as many replacements as their length allows.
+SHORT = ("111", "1101")
 SIMILARITY = 0.8
 BLOCK_CHARS = 4_000_000
 _TOKEN = re.compile(r"\w+")
@@ -75,9 +76,8 @@ class SeedIndex:
     def __init__(self, ids: list, texts: list) -> None:
         self.ids, self.tokens = ids, [token_hashes(t) for t in texts]
         self.parts = []
-        longest = max(map(len, MASKS))
-        for mask in (*MASKS, SHORT):
-            chosen = [(k, seed_hashes(t, mask)) for k, t in enumerate(self.tokens) if (mask == SHORT) == (len(t) < longest)]
+        for mask in (*MASKS, *SHORT):
+            chosen = [(k, seed_hashes(t, mask)) for k, t in enumerate(self.tokens) if len(t) >= 5 and (mask in SHORT) == (len(t) < WINDOW)]
             if not sum(len(h) for _, h in chosen):
                 continue
             hashes = np.concatenate([h for _, h in chosen])

@@ -155,13 +155,13 @@ def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, names: tupl
     """Scaled residuals of the projected-gradient rounds (rows), from which rates follow."""
     there, _ = _sums(soft, names, np.empty((0, len(names))))
     want = np.asarray(targets, float) / sum(targets) * (there.sum() if budget is None else budget)
-    steps, have, length = np.empty((0, len(names))), there, 1.0
+    steps, have, length, moved = np.empty((0, len(names))), there, 1.0, 0.0
     scale, best, best_steps = np.maximum(there, 1e-9), np.inf, steps
     for k in range(rounds + 1):
         residual = have - want
-        if (worst := float(np.abs(residual).max())) < best:
-            best, best_steps = worst, steps
-        if worst <= tolerance * max(1.0, want.sum()) or k == rounds:
+        if (loss := float((residual**2 / scale).sum())) < best:
+            best, best_steps = loss, steps
+        if float(np.abs(residual).max()) <= tolerance * max(1.0, want.sum()) or k == rounds or (k and moved <= tolerance**2 * max(1.0, want.sum())):
             break
         steps = np.vstack([steps, length * residual / scale])
         before, (have, moved) = have, _sums(soft, names, steps)

@@ -110,9 +110,10 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     headers = {}
     for line in data[start.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
+        key = name.strip().lower().decode("latin-1")
+        if not colon or key in headers and key != "warc-concurrent-to":  # the head of another record has been run into
             return None
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        headers[key] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         return None
