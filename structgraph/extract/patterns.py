@@ -43,5 +43,6 @@ DATA_SOURCES = (
     ("Memcached", 24, "memcached"), ("memcache", 24, "memcached"), ("S3Client", 25, "s3"), ("boto3.client('s3')", 25, "s3"),
     ("BlobServiceClient", 25, "azure_blob"), ("google-cloud-storage", 25, "gcs"), ("@google-cloud/storage", 25, "gcs"),
     ("Elasticsearch", 26, "elasticsearch"), ("OpenSearch", 26, "opensearch"), ("Algolia", 26, "algolia"), ("Meilisearch", 26, "meilisearch"),
-    ("Typesense", 26, "typesense"), ("SendGrid", 27, "sendgrid"), ("Mailgun", 27, "mailgun"), ("nodemailer", 27, "nodemailer"),
+    ("Typesense", 26, "typesense"), ("SendGrid", 27, "sendgrid"), ("Mailgun", 27, "mailgun"), ("nodemailer", 27, "nodemailer"), ("smtplib", 27, "smtp"),
+    ("@aws-sdk/client-ses", 27, "ses"), ("postmark", 27, "postmark"), ("Resend", 27, "resend"),
 )

@@ -30,12 +30,26 @@ UNION ALL SELECT DISTINCT cast(107 * {K} + user_id AS BIGINT), t.id, 15, 0 FROM
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables; a schema is read from the files once per path."""
+    out = {}
+    for t in TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        known = _SCHEMAS.get((sf_dir, t))
+        out[t] = spark.read.schema(known).parquet(path) if known is not None else spark.read.parquet(path)
+        _SCHEMAS[sf_dir, t] = out[t].schema
+    return out
+
+
 def fk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NODES.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    return spark.sql(NODES, **_tables(spark, sf_dir))
 
 
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EDGES.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    return spark.sql(EDGES, **_tables(spark, sf_dir))
 
 
 def with_graph(sql: str, recursive: bool = False) -> str:
