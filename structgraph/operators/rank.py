@@ -65,7 +65,7 @@ def ppr(nodes: DataFrame, edges: DataFrame, seeds: list[int], config: Activation
     scores = materialize(restart.select("id", F.col("r").alias("score")))
     made = 0
     while made < (rounds if rounds is not None else config.max_iterations):
-        dangling = scores.join(going, scores["id"] == going["src"], "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        dangling = scores.join(going, scores["id"] == going["src"], "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).scalar()
         pushed = scores.join(moves, scores["id"] == moves["src"]).select(F.col("dst").alias("id"), (d * F.col("score") * F.col("p")).alias("s"))
         again = restart.select("id", (F.col("r") * (1 - d + d * dangling)).alias("s"))
         new = materialize(pushed.unionByName(again).groupBy("id").agg(F.sum("s").alias("score")))

@@ -36,7 +36,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "down
     """``source``, ``id``, ``depth`` (fewest hops) of all within ``depth`` hops of each seed (column ``id``), seeds excluded."""
     if follow is not None:
         edges = edges.where(F.col("category").isin(*follow))
-    steps = _steps(edges, direction)
+    steps = materialize(_steps(edges, direction))  # else every level would derive the edges again
     frontier = seeds.select(F.col("id").alias("source"), "id").distinct()
     levels = [materialize(frontier.withColumn("depth", F.lit(0)))]
     for d in range(1, depth + 1):
