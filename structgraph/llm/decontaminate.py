@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 BLOCK_CHARS = 4_000_000
 _TOKEN = re.compile(r"\w+")
 _CACHE: dict[str, int] = {}
-_CACHE_MAX = 400_000
+_CACHE_MAX = 100_000
 
 
 def token_hashes(text: str | None) -> np.ndarray:

@@ -104,7 +104,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, classes: int, keep: int = T
 def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DomainClassifier:
     own = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).when(F.col("quality").isNotNull(), 1)
-    found = labelled_terms(documents, own.select("doc_id", domain.alias("domain")), "domain", rows)
+    found = labelled_terms(documents, own.select("doc_id", domain.alias("domain")), "domain", rows, len(DOMAINS), TERMS)
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64), len(DOMAINS))
 
 

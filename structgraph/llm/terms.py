@@ -16,7 +16,7 @@ BUCKETS = 1 << 18
 LEAST_G = 15.0
 _STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_/\\+=~`^@"
 _CACHE: dict[str, tuple[int, ...]] = {}
-_CACHE_MAX = 400_000
+_CACHE_MAX = 50_000
 
 
 def _ids(raw: str) -> tuple[int, ...]:
@@ -50,38 +50,63 @@ def term_ids(text: str | None) -> np.ndarray:
     return out
 
 
-def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> pd.DataFrame:
-    """``label`` and ``terms`` of at most ``rows`` labelled documents.
+def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: int, classes: int, keep: int) -> pd.DataFrame:
+    """``label`` and ``terms`` of at most ``rows`` labelled documents, by doc_id.
 
     ``labels`` has one row per doc_id.  The sample goes by a hash of doc_id,
-    so it is the same each time; its size bounds both the broadcast and what
-    the driver receives.
+    so it is the same each time; its size bounds the broadcast, the checkpoint
+    and what the driver receives: counts per term and class, then of each
+    document only the terms that ``select_terms`` would keep.
     """
-    from structgraph.llm.common import bounded_sample
+    from structgraph.llm.common import bounded_sample, materialize
 
-    sample = bounded_sample(labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null"), "doc_id", rows)
+    sample = bounded_sample(labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null"), "doc_id", rows)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "label": x["label"], "terms": [term_ids(t).tobytes() for t in x["text"]]})
+            for i in range(0, len(x), 500):
+                part = x.iloc[i : i + 500]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "terms": [term_ids(t).tobytes() for t in part["text"]]})
 
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(extract, "doc_id long, label int, terms binary").toPandas()
-    found = found.sort_values(["doc_id", "terms"], kind="stable").drop_duplicates("doc_id")
-    return found.assign(terms=[np.frombuffer(t, np.int32) for t in found["terms"]]).reset_index(drop=True)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((classes, BUCKETS), np.int32)
+        for x in batches:
+            for y, t in zip(x["label"], x["terms"], strict=True):
+                total[y, np.frombuffer(t, np.int32)] += 1
+        y, t = np.nonzero(total)
+        yield pd.DataFrame({"label": y.astype(np.int32), "term": t.astype(np.int32), "n": total[y, t].astype(np.int64)})
+
+    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(extract, "doc_id long, label int, terms binary")
+    found = materialize(found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")))
+    seen, sizes = np.zeros((classes, BUCKETS)), np.zeros(classes)
+    for r in found.groupBy("label").agg(F.count("*").alias("n")).collect():
+        sizes[r["label"]] = r["n"]
+    counts = found.mapInPandas(count, "label int, term int, n long").groupBy("label", "term").agg(F.sum("n").cast("int").alias("n")).toPandas()
+    seen[counts["label"].to_numpy(), counts["term"].to_numpy()] = counts["n"].to_numpy()
+    chosen = _choose(seen, sizes, keep)
+
+    def restrict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x.assign(terms=[t[np.isin(t, chosen, assume_unique=True)].tobytes() for t in (np.frombuffer(t, np.int32) for t in x["terms"])])
+
+    out = found.mapInPandas(restrict, found.schema).toPandas().sort_values("doc_id", kind="stable")
+    return out.assign(terms=[np.frombuffer(t, np.int32) for t in out["terms"]]).reset_index(drop=True)
 
 
-def select_terms(terms: list[np.ndarray], labels: np.ndarray, classes: int, keep: int, least: int = 4) -> np.ndarray:
+def select_terms(terms: list[np.ndarray], labels: np.ndarray, classes: int, keep: int) -> np.ndarray:
     """Ids of the terms that say most about the class (G statistic), sorted."""
     seen = np.zeros((classes, BUCKETS))
-    sizes = np.bincount(labels, minlength=classes).astype(float)
     for c in range(classes):
-        own = [t for t, y in zip(terms, labels, strict=True) if y == c]
-        if own:
+        if own := [t for t, y in zip(terms, labels, strict=True) if y == c]:
             seen[c] = np.bincount(np.concatenate(own), minlength=BUCKETS)
+    return _choose(seen, np.bincount(labels, minlength=classes).astype(float), keep)
+
+
+def _choose(seen: np.ndarray, sizes: np.ndarray, keep: int, least: int = 4) -> np.ndarray:
     total, n = seen.sum(0), max(1.0, sizes.sum())
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.zeros(BUCKETS)
-        for c in range(classes):
+        for c in range(len(sizes)):
             for have, of in ((seen[c], total), (sizes[c] - seen[c], n - total)):
                 g += np.where(have > 0, have * np.log(have * n / (of * max(sizes[c], 1e-9))), 0)
     g[total < least] = 0

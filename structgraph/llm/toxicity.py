@@ -104,8 +104,8 @@ def held_out(doc_id: str = "doc_id"):
 def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> FactorizationMachine:
     """Fit on labelled rows that aren't held out."""
     own = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    found = labelled_terms(documents, own, "toxic", rows)
-    return fit(list(found["terms"]), (found["label"].to_numpy(np.int64) > 0).astype(np.int64))
+    found = labelled_terms(documents, own.withColumn("toxic", (F.col("toxic") > 0).cast("int")), "toxic", rows, 2, TERMS)
+    return fit(list(found["terms"]), found["label"].to_numpy(np.int64))
 
 
 def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
