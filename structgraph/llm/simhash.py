@@ -62,7 +62,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in x["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x))})
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, StructType([StructField("doc_id", LongType()), StructField("fp", LongType())]))
 
@@ -80,7 +80,9 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     variants are connected through the least fingerprint that meets them.
     """
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    variants = _variants(fps)
+    # checkpoints of small rows have few partitions, and each row here becomes 64
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(fps.repartition(parts, "fp"))
     shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = shared.where("n = 2").select("a", "b").where(near)
     members = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"))
@@ -111,7 +113,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document that names it (of equal doc_ids one row)."""
+    """Pipeline stage: of each component the document that names it (of equal doc_ids one row).
+
+    Rows without a doc_id can't name a component and go.
+    """
     found = near_duplicates(docs.where("doc_id is not null"))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
