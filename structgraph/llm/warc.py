@@ -205,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
-    write_archives(table(spark, sf_dir, "pages"), path)
+    write_archives(table(spark, sf_dir, "pages"), path, compress=True)
     found = read_archives(spark, path).where("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
