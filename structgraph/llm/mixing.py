@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from structgraph.llm.common import materialize, table
-from structgraph.llm.terms import labelled_terms, packed, select_terms, term_ids
+from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: Domains of the labels table, and the share of tokens wanted of each.
 DOMAINS = ("good", "poor", "toxic")
@@ -59,10 +59,13 @@ class DomainClassifier:
     bias: np.ndarray
 
     def posterior(self, terms: list[np.ndarray]) -> np.ndarray:
-        at, rows = packed(terms, self.terms)
-        logits = np.tile(self.bias, (len(terms), 1))
+        return self.posterior_at(*packed(terms, self.terms), len(terms))
+
+    def posterior_at(self, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts, by the places of their terms and the text of each."""
+        logits = np.tile(self.bias, (n, 1))
         for d in range(len(self.bias)):
-            logits[:, d] += np.bincount(rows, self.weights[at, d], len(terms))
+            logits[:, d] += np.bincount(rows, self.weights[at, d], n)
         logits -= logits.max(1, keepdims=True)
         out = np.exp(np.clip(logits, -30, 0))
         return out / out.sum(1, keepdims=True)
@@ -108,18 +111,21 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Dom
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64), len(DOMAINS))
 
 
-def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """All columns of ``documents``, ``n_tokens`` (words) and ``p_<domain>``."""
+def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS, text: bool = True) -> DataFrame:
+    """All columns of ``documents`` (``text`` only if asked for), ``n_tokens`` (words) and ``p_<domain>``."""
     added = ["n_tokens", *(f"p_{d}" for d in names)]
     docs = documents.drop(*added)
-    schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in added[1:])])
+    kept = [f for f in docs.schema.fields if text or f.name != "text"]
+    schema = StructType([*kept, StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in added[1:])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Matcher(model.terms)
         for x in batches:
             for i in range(0, len(x), 1000):
                 part = x.iloc[i : i + 1000]
-                p = model.posterior([term_ids(t) for t in part["text"]])
-                yield part.assign(n_tokens=[len(t.split()) if t else 0 for t in part["text"]], **{c: p[:, d] for d, c in enumerate(added[1:])})
+                at, rows, words = own.match(part["text"])
+                p = model.posterior_at(at, rows, len(part))
+                yield part[[f.name for f in kept]].assign(n_tokens=words, **{c: p[:, d] for d, c in enumerate(added[1:])})
 
     return docs.mapInPandas(run, schema)
 
@@ -185,12 +191,12 @@ def with_rates(soft: DataFrame, steps: np.ndarray, names: tuple[str, ...] = DOMA
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    soft = materialize(memberships(documents, fit_on(documents, table(spark, sf_dir, "labels"))).drop("text"))
+    soft = materialize(memberships(documents, fit_on(documents, table(spark, sf_dir, "labels")), text=False))
     return with_rates(soft, fit_rates(soft))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its memberships and rate."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
-    soft = materialize(memberships(docs.select("text"), model).drop("text"))
+    soft = materialize(memberships(docs.select("text"), model, text=False))
     return with_rates(memberships(docs, model), fit_rates(soft))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ BUCKETS = 1 << 18
 #: Terms with a smaller G statistic are left to chance.
 LEAST_G = 15.0
 _STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_/\\+=~`^@"
+_WORD, _FOUR, _FIVE = (zlib.crc32(x) for x in (b"w", b"4", b"5"))
 _CACHE: dict[str, tuple[int, ...]] = {}
 _CACHE_MAX = 50_000
 
@@ -22,10 +24,11 @@ _CACHE_MAX = 50_000
 def _ids(raw: str) -> tuple[int, ...]:
     """A word gives itself, its first four and five letters, and its edge marks."""
     word = raw.strip(_STRIP)
-    out = {zlib.crc32(b"w" + word.encode("utf-8", "replace")) % BUCKETS} if word else set()
-    for n in (4, 5):
-        if len(word) > n:
-            out.add(zlib.crc32(b"%d" % n + word[:n].encode("utf-8", "replace")) % BUCKETS)
+    out = {zlib.crc32(word.encode("utf-8", "replace"), _WORD) % BUCKETS} if word else set()
+    if len(word) > 4:
+        out.add(zlib.crc32(word[:4].encode("utf-8", "replace"), _FOUR) % BUCKETS)
+        if len(word) > 5:
+            out.add(zlib.crc32(word[:5].encode("utf-8", "replace"), _FIVE) % BUCKETS)
     if mark := raw[len(raw.rstrip(_STRIP)) :]:
         out.add(zlib.crc32(b"m" + mark[:8].encode()) % BUCKETS)
     return tuple(out)
@@ -50,6 +53,44 @@ def term_ids(text: str | None) -> np.ndarray:
     return out
 
 
+class Matcher(dict):
+    """Finds which of ``chosen`` (sorted term ids) whole texts have, word by word.
+
+    It is the map from a word to the places of its terms in ``chosen``: words
+    without any cost one lookup.  One serves one task, so what it remembers
+    goes with the task.
+    """
+
+    def __init__(self, chosen: np.ndarray) -> None:
+        super().__init__()
+        self.places = {t: k for k, t in enumerate(chosen.tolist())}
+        self.before: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        out = self.before.get(raw)
+        if out is None:
+            out = tuple(self.places[t] for t in _ids(raw) if t in self.places)
+        if len(raw) < 64:
+            if len(self) >= _CACHE_MAX:  # words in use come back from the generation before
+                self.before = dict(self)
+                self.clear()
+            self[raw] = out
+        return out
+
+    def match(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of every text's terms, one after another, the text of each, and the words of every text."""
+        found, words = [], []
+        for text in texts:
+            raw = text.lower().split() if text else []
+            words.append(len(raw))
+            own = set(chain.from_iterable(map(self.__getitem__, set(raw))))
+            at = np.fromiter(own, np.int64, len(own))
+            at.sort()
+            found.append(at)
+        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return np.concatenate([np.empty(0, np.int64), *found]), rows, np.array(words, np.int64)
+
+
 def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: int, classes: int, keep: int) -> pd.DataFrame:
     """``label`` and ``terms`` of at most ``rows`` labelled documents, by doc_id.
 
