@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.llm.common import table
-from structgraph.llm.terms import labelled_terms, packed, select_terms, term_ids
+from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: At most so many labelled rows are used to fit (bounds driver memory).
 FIT_ROWS = 16_000
@@ -43,8 +43,7 @@ class FactorizationMachine:
     factors: np.ndarray
 
     def margin(self, terms: list[np.ndarray]) -> np.ndarray:
-        at, rows = packed(terms, self.terms)
-        return self._margin(at, rows, len(terms))[0]
+        return self._margin(*packed(terms, self.terms), len(terms))[0]
 
     def _margin(self, at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         k = self.factors.shape[1]
@@ -57,7 +56,15 @@ class FactorizationMachine:
         return out, sums
 
     def score(self, terms: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(terms), -30, 30)))
+        return _logistic(self.margin(terms))
+
+    def score_at(self, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts, by the places of their terms and the text of each."""
+        return _logistic(self._margin(at, rows, n)[0])
+
+
+def _logistic(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def fit(terms: list[np.ndarray], labels: np.ndarray, keep: int = TERMS, factors: int = FACTORS, rounds: int = 40, seed: int = 7) -> FactorizationMachine:
@@ -82,7 +89,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, keep: int = TERMS, factors:
             take = np.concatenate([np.arange(starts[p], starts[p + 1]) for p in part]) if len(part) else np.empty(0, int)
             own, local = at[take], np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
             margin, sums = fm._margin(own, local, len(part))
-            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]) / len(part)
+            err = (_logistic(margin) - labels[part]) / len(part)
             gb = err.sum()
             gw = np.bincount(own, err[local], m) + 1e-5 * fm.weights
             seen_b += gb * gb
@@ -108,19 +115,22 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Fac
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64))
 
 
-def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """All columns of ``documents`` and ``toxicity`` (double, 0 to 1)."""
+def score(documents: DataFrame, model: FactorizationMachine, text: bool = True) -> DataFrame:
+    """All columns of ``documents`` (``text`` only if asked for) and ``toxicity`` (double, 0 to 1)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     if "toxicity" in documents.columns:
         documents = documents.withColumnRenamed("toxicity", "toxicity_before")
-    schema = StructType([*documents.schema.fields, StructField("toxicity", DoubleType())])
+    kept = [f for f in documents.schema.fields if text or f.name != "text"]
+    schema = StructType([*kept, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Matcher(model.terms)
         for x in batches:
             for i in range(0, len(x), 1000):
                 part = x.iloc[i : i + 1000]
-                yield part.assign(toxicity=model.score([term_ids(t) for t in part["text"]]))
+                at, rows, _ = own.match(part["text"])
+                yield part[[f.name for f in kept]].assign(toxicity=model.score_at(at, rows, len(part)))
 
     return documents.mapInPandas(run, schema)
 
@@ -128,7 +138,7 @@ def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_on(documents, table(spark, sf_dir, "labels"))
-    scored = score(documents, model)
+    scored = score(documents, model, text=False)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
