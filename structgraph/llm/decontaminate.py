@@ -142,6 +142,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, index.ids[k], a, e, s) for d, t in zip(x["doc_id"], x["text"], strict=True) for k, a, e, s in index.matches(t)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_token", "end_token", "similarity"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+            _CACHE.clear()  # workers outlive their tasks
 
         return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
@@ -160,6 +161,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             index = SeedIndex(ids, texts)
             for x in batches:
                 yield x[[not index.matches(t) for t in x["text"]]]
+            _CACHE.clear()  # workers outlive their tasks
 
         docs = docs.mapInPandas(run, docs.schema)
     return docs

@@ -111,12 +111,13 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Dom
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64), len(DOMAINS))
 
 
-def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS, text: bool = True) -> DataFrame:
-    """All columns of ``documents`` (``text`` only if asked for), ``n_tokens`` (words) and ``p_<domain>``."""
+def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS, text: bool = True, steps: np.ndarray | None = None) -> DataFrame:
+    """All columns of ``documents`` (``text`` only if asked for), ``n_tokens`` (words), ``p_<domain>``, and ``rate`` if ``steps`` are given."""
     added = ["n_tokens", *(f"p_{d}" for d in names)]
-    docs = documents.drop(*added)
+    rated = ["rate"] if steps is not None else []
+    docs = documents.drop(*added, *rated)
     kept = [f for f in docs.schema.fields if text or f.name != "text"]
-    schema = StructType([*kept, StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in added[1:])])
+    schema = StructType([*kept, StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in added[1:] + rated)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Matcher(model.terms)
@@ -125,7 +126,7 @@ def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str,
                 part = x.iloc[i : i + 1000]
                 at, rows, words = own.match(part["text"])
                 p = model.posterior_at(at, rows, len(part))
-                yield part[[f.name for f in kept]].assign(n_tokens=words, **{c: p[:, d] for d, c in enumerate(added[1:])})
+                yield part[[f.name for f in kept]].assign(n_tokens=words, **{c: p[:, d] for d, c in enumerate(added[1:])}, **{c: _rates(p, steps) for c in rated})
 
     return docs.mapInPandas(run, schema)
 
@@ -199,4 +200,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its memberships and rate."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
     soft = materialize(memberships(docs.select("text"), model, text=False))
-    return with_rates(memberships(docs, model), fit_rates(soft))
+    # texts pass through Python once: memberships and rates in one step
+    return memberships(docs, model, steps=fit_rates(soft))

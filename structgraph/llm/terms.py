@@ -19,6 +19,8 @@ _STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_/\\+=~`^@"
 _WORD, _FOUR, _FIVE = (zlib.crc32(x) for x in (b"w", b"4", b"5"))
 _CACHE: dict[str, tuple[int, ...]] = {}
 _CACHE_MAX = 50_000
+#: Words of a Matcher's generation; there are two.
+_GENERATION = 25_000
 
 
 def _ids(raw: str) -> tuple[int, ...]:
@@ -71,7 +73,7 @@ class Matcher(dict):
         if out is None:
             out = tuple(self.places[t] for t in _ids(raw) if t in self.places)
         if len(raw) < 64:
-            if len(self) >= _CACHE_MAX:  # words in use come back from the generation before
+            if len(self) >= _GENERATION:  # words in use come back from the generation before
                 self.before = dict(self)
                 self.clear()
             self[raw] = out
@@ -108,6 +110,7 @@ def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: in
             for i in range(0, len(x), 500):
                 part = x.iloc[i : i + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "terms": [term_ids(t).tobytes() for t in part["text"]]})
+        _CACHE.clear()  # workers outlive their tasks
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((classes, BUCKETS), np.int32)
