@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space (regular expression text).
 SPACES = r"[\\x20\\x09-\\x0D]+"
+#: Spark's own bound of 64 MB a batch is held several times over: in both
+#: directions, by the JVM and by Python, for each task of an executor.
+_BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +65,18 @@ def running_totals(numbers: str, tag: str) -> str:
     return let(numbers, a, f"if(size({a}) = 0, cast(array() as array<bigint>), {body})")
 
 
+def map_texts(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInPandas`` for whole texts, in batches of about ``BATCH_BYTES`` and one row at least.
+
+    The bound is a setting of the session, which is read when the plan runs;
+    a session that has its own keeps it.
+    """
+    spark = df.sparkSession
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df.mapInPandas(function, schema)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows with the smallest hash of ``key``: the same each time."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)

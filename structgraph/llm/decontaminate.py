@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.llm.common import table
+from structgraph.llm.common import map_texts, table
 
 WINDOW = 13
 #: Whichever two of WINDOW tokens are replaced, one of these masks ignores both somewhere in the window.
@@ -144,7 +144,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
             _CACHE.clear()  # workers outlive their tasks
 
-        return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+        return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
     return reduce(DataFrame.unionByName, [part(*x) for x in benchmark_blocks(benchmark)])
 
@@ -163,5 +163,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                 yield x[[not index.matches(t) for t in x["text"]]]
             _CACHE.clear()  # workers outlive their tasks
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs

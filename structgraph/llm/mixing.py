@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from structgraph.llm.common import materialize, table
+from structgraph.llm.common import map_texts, materialize, table
 from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: Domains of the labels table, and the share of tokens wanted of each.
@@ -128,7 +128,7 @@ def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str,
                 p = model.posterior_at(at, rows, len(part))
                 yield part[[f.name for f in kept]].assign(n_tokens=words, **{c: p[:, d] for d, c in enumerate(added[1:])}, **{c: _rates(p, steps) for c in rated})
 
-    return docs.mapInPandas(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:

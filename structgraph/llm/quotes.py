@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from structgraph.llm.common import materialize, table
+from structgraph.llm.common import map_texts, materialize, table
 
 BLOCK = 256
 _MARKS = re.compile(r"(?:[ \t]?>)+")
@@ -77,7 +77,7 @@ def parse(messages: DataFrame) -> DataFrame:
             out = pd.DataFrame({"conv_id": x["conv_id"], "turn": x["turn"], "role": x["role"], "text": [t for t, _ in done], "passages": [[{"level": a, "hash": h} for a, h in p] for _, p in done]})
             yield out.astype({"conv_id": "Int64", "turn": "Int64"})
 
-    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInPandas(run, schema)
+    return map_texts(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"), run, schema)
 
 
 def quote_links(parsed: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from structgraph.llm.common import materialize, table
+from structgraph.llm.common import map_texts, materialize, table
 from structgraph.llm.components import connected_components
 
 #: Variants with more members than this go to the exact second index.
@@ -64,7 +64,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x))})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, StructType([StructField("doc_id", LongType()), StructField("fp", LongType())]))
+    return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, StructType([StructField("doc_id", LongType()), StructField("fp", LongType())]))
 
 
 def _variants(fps: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: in
     and what the driver receives: counts per term and class, then of each
     document only the terms that ``select_terms`` would keep.
     """
-    from structgraph.llm.common import bounded_sample, materialize
+    from structgraph.llm.common import bounded_sample, map_texts, materialize
 
     sample = bounded_sample(labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null"), "doc_id", rows)
 
@@ -120,7 +120,7 @@ def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: in
         y, t = np.nonzero(total)
         yield pd.DataFrame({"label": y.astype(np.int32), "term": t.astype(np.int32), "n": total[y, t].astype(np.int64)})
 
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(extract, "doc_id long, label int, terms binary")
+    found = map_texts(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), extract, "doc_id long, label int, terms binary")
     found = materialize(found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")))
     seen, sizes = np.zeros((classes, BUCKETS)), np.zeros(classes)
     for r in found.groupBy("label").agg(F.count("*").alias("n")).collect():

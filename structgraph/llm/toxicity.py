@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.llm.common import table
+from structgraph.llm.common import map_texts, table
 from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: At most so many labelled rows are used to fit (bounds driver memory).
@@ -132,7 +132,7 @@ def score(documents: DataFrame, model: FactorizationMachine, text: bool = True)
                 at, rows, _ = own.match(part["text"])
                 yield part[[f.name for f in kept]].assign(toxicity=model.score_at(at, rows, len(part)))
 
-    return documents.mapInPandas(run, schema)
+    return map_texts(documents, run, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
