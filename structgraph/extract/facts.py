@@ -154,8 +154,9 @@ def express_routes(files: DataFrame) -> DataFrame:
     """``path``, ``method``, ``route`` of ``.verb('/…'`` lines that don't look like a client's."""
     pattern = rf"""\.({_VERBS})\(\s*["'`](/[^"'`]*)["'`]"""
     each = lines(files).where(~F.col("line").rlike(_CLIENT))
-    found = each.select("path", F.upper(F.regexp_extract("line", pattern, 1)).alias("method"), F.regexp_extract("line", pattern, 2).alias("route"))
-    return found.where("method <> '' AND octet_length(route) <= 256").distinct()
+    every = each.select("path", F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("method"), F.regexp_extract_all("line", F.lit(pattern), F.lit(2)).alias("route"))
+    found = every.select("path", F.explode(F.arrays_zip("method", "route")).alias("r")).select("path", F.upper("r.method").alias("method"), "r.route")
+    return found.where("octet_length(route) <= 256").distinct()
 
 
 def _exports(found: DataFrame) -> DataFrame:

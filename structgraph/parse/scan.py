@@ -21,8 +21,9 @@ class Language:
     declares: tuple[tuple[str, str], ...]
     #: (form, pattern with groups m, and n or a where there are such)
     imports: tuple[tuple[str, str], ...] = ()
-    #: (pattern with groups v and p, confidence); v may be missing (ANY)
-    routes: tuple[tuple[str, int], ...] = ()
+    #: (pattern with groups v and p, confidence, handler); v may be missing (ANY); the handler is
+    #: the declaration that follows ("next"), the one around it ("inside"), the "module", or missing
+    routes: tuple[tuple, ...] = ()
     comment: str = r"//[^\n]*|/\*[\s\S]*?\*/"
     own: tuple[str, ...] = ("this", "self")
     nesting: str = "braces"
@@ -48,28 +49,28 @@ LANGUAGES: dict[str, Language] = {
     "java": Language(
         declares=(*_C_CLASS, ("function", r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<n>\w+)\s*\("), ("function", _TYPED_FN)),
         imports=(("module", r"(?m)^\s*import\s+(?:static\s+)?(?P<m>[\w.]+)\.\*"), ("symbol", r"(?m)^\s*import\s+(?:static\s+)?(?P<m>[\w.]+)\.(?P<n>\w+)(?:\s+as\s+(?P<a>\w+))?\s*;?\s*$")),
-        routes=((r"""@(?P<v>Get|Post|Put|Patch|Delete|Request)(?:Mapping)?\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*"(?P<p>[^"]*)\"""", 2), (r"""\b(?P<v>get|post|put|patch|delete)\(\s*"(?P<p>/[^"]*)"\s*\)\s*\{""", 1), (r"""\.(?P<v>GET|POST|PUT|PATCH|DELETE)\(\s*"(?P<p>[^"]*)\"""", 1)),
+        routes=((r"""@(?P<v>Get|Post|Put|Patch|Delete|Head|Options|Request)(?:Mapping)?\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*"(?P<p>[^"]*)\"""", 2, "next"), (r"""@(?P<v>Controller|Path)\(\s*(?:value\s*=\s*)?"(?P<p>[^"]*)\"""", 2, "next"), (r"""\b(?P<v>get|post|put|patch|delete|head|options)\(\s*"(?P<p>/[^"]*)"\s*\)\s*\{""", 1), (r"""\.(?P<v>GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\(\s*"(?P<p>[^"]*)\"""", 1)),
     ),
     "csharp": Language(
         declares=(("package", r"\bnamespace\s+(?P<n>[\w.]+)"), ("struct", r"\bstruct\s+(?P<n>\w+)"), *_C_CLASS, ("function", _TYPED_FN)),
         imports=(("symbol", r"(?m)^\s*using\s+(?P<m>[\w.]+)\.(?P<n>\w+)\s*;"),),
-        routes=((r"""\[Http(?P<v>Get|Post|Put|Patch|Delete)(?:\(\s*"(?P<p>[^"]*)"[^)]*\))?\]""", 2), (r"""\[Route\(\s*"(?P<p>[^"]*)\"""", 2), (r"""\.Map(?P<v>Get|Post|Put|Patch|Delete)\(\s*"(?P<p>[^"]*)\"""", 1)),
+        routes=((r"""\[Http(?P<v>Get|Post|Put|Patch|Delete|Head|Options)\b(?:\(\s*"(?P<p>[^"]*)")?""", 2, "next"), (r"""\[Route\(\s*"(?P<p>[^"]*)\"""", 2, "next"), (r"""\.Map(?P<v>Get|Post|Put|Patch|Delete|Head|Options)\(\s*"(?P<p>[^"]*)\"""", 1, "inside")),
     ),
     "php": Language(
         declares=(("package", r"\bnamespace\s+(?P<n>[\w\\]+)"), *_C_CLASS, ("function", r"\bfunction\s+&?(?P<n>\w+)\s*\(")),
         imports=(("symbol", r"(?m)^\s*use\s+\\?(?P<m>[\w\\]+)\\(?P<n>\w+)(?:\s+as\s+(?P<a>\w+))?\s*;"),),
-        routes=((r"""#\[Route\(\s*(?:path:\s*)?['"](?P<p>[^'"]*)['"](?:[^\]]*?methods:\s*\[\s*['"](?P<v>\w+))?""", 2), (r"""\bRoute::(?P<v>get|post|put|patch|delete|options|any)\(\s*['"](?P<p>[^'"]*)['"]""", 1), (r"""\bRoute::(?P<v>resource|apiResource)\(\s*['"](?P<p>[^'"]*)['"]""", 1)),
+        routes=((r"""#\[(?P<v>Route)\(\s*(?:path:\s*)?['"](?P<p>[^'"]*)['"]""", 2, "next"), (r"""\bRoute::(?P<v>get|post|put|patch|delete|options|any)\(\s*['"](?P<p>[^'"]*)['"]""", 1), (r"""\bRoute::(?P<v>resource|apiResource)\(\s*['"](?P<p>[^'"]*)['"]""", 1)),
         comment=r"//[^\n]*|/\*[\s\S]*?\*/|#(?!\[)[^\n]*", own=("$this", "self", "static"), separator="\\",
     ),
     "rust": Language(
         declares=(("struct", r"\bstruct\s+(?P<n>\w+)"), ("enum", r"\benum\s+(?P<n>\w+)"), ("interface", r"\btrait\s+(?P<n>\w+)"), ("impl", r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<n>\w+)"), ("function", r"\bfn\s+(?P<n>\w+)")),
         imports=(("symbol", r"(?m)^\s*(?:pub\s+)?use\s+(?P<m>(?:crate|super)(?:::\w+)*)::(?P<n>\w+)(?:\s+as\s+(?P<a>\w+))?\s*;"), ("list", r"(?m)^\s*(?:pub\s+)?use\s+(?P<m>(?:crate|super)(?:::\w+)*)::\{(?P<l>[^}]*)\}")),
-        routes=((r"""#\[(?P<v>get|post|put|patch|delete)\(\s*"(?P<p>[^"]*)\"""", 2), (r"""\.route\(\s*"(?P<p>[^"]*)"\s*,\s*(?P<v>get|post|put|patch|delete)\b""", 1)), separator="::",
+        routes=((r"""#\[(?P<v>get|post|put|patch|delete|head|options)\(\s*"(?P<p>[^"]*)\"""", 2, "module"), (r"""\.(?P<v>route)\(\s*"(?P<p>[^"]*)\"""", 1)), separator="::",
     ),
     "ruby": Language(
         declares=(("class", r"(?m)^\s*class\s+(?P<n>[A-Z]\w*)"), ("package", r"(?m)^\s*module\s+(?P<n>[A-Z]\w*)"), ("function", r"(?m)^\s*def\s+(?:self\.)?(?P<n>\w+[?!=]?)")),
         imports=(("module", r"""(?m)^\s*require(?:_relative)?\s+['"](?P<m>[^'"]+)['"]"""),),
-        routes=((r"""(?m)^\s*(?P<v>get|post|put|patch|delete|match)\s+['"](?P<p>[^'"]*)['"]""", 2), (r"""(?m)^\s*(?P<v>resources)\s+:(?P<p>\w+)""", 1)),
+        routes=((r"""(?m)^\s*(?P<v>get|post|put|patch|delete|match)(?:\s+|\s*\(\s*)['"](?P<p>[^'"]+)['"]""", 2), (r"""(?m)^\s*(?P<v>resources?)(?:\s+|\s*\(\s*):(?P<p>\w+)""", 1), (r"""(?m)^\s*(?P<v>root)\b(?=\s*[('":\w])(?!\s*=)""", 2)),
         comment=r"#[^\n]*", own=("self",), nesting="end", separator="/", only_routes_in="routes.rb",
     ),
     "swift": Language(
@@ -82,7 +83,7 @@ LANGUAGES: dict[str, Language] = {
     ),
     "scala": Language(
         declares=(("class", r"\b(?:class|object)\s+(?P<n>\w+)"), ("interface", r"\btrait\s+(?P<n>\w+)"), ("function", r"\bdef\s+(?P<n>\w+)")),
-        imports=(("module", r"(?m)^\s*(?:import|package)\s+(?P<m>[\w.]+)"),), routes=((r"""\bpath\(\s*"(?P<p>[^"]*)\"""", 1),),
+        imports=(("module", r"(?m)^\s*(?:import|package)\s+(?P<m>[\w.]+)"),), routes=((r"""\bpath\(\s*"(?P<p>[^"]*)\"""", 1), (r"""\b(?P<v>GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS) -> Root(?P<s>(?:\s*/\s*(?:"[^"]*"|(?:Int|Long|UUID|IntPath|LongPath)Var\b(?:\s*\([^)]*\))?|[A-Za-z_]\w*))*)""", 1)),
     ),
     "clojure": Language(
         declares=(("function", r"\((?:defn-?|def|defmacro)\s+(?:\^\S+\s+)?(?P<n>[\w*+!?<>=-]+)"), ("interface", r"\(defprotocol\s+(?P<n>\w+)"), ("struct", r"\(def(?:record|type)\s+(?P<n>\w+)")),
@@ -158,6 +159,7 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
     types: dict[str, str] = {}
     seen: set[tuple[str, str]] = set()
     owners: list[tuple[int, int, str, str]] = []
+    places: list[tuple[int, str]] = []
     for at, end, kind, m in found:
         while scopes and scopes[-1][1] <= at:
             scopes.pop()
@@ -175,6 +177,8 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
                 continue
             kind = "method" if inside in _TYPES or (inside == "package" and lang == "solidity") else "function"
         own = "class" if kind in _TYPES else kind
+        if kind in _TYPES or kind in ("function", "method"):
+            places.append((m.start("n"), qname))
         if (qname, kind) not in seen:
             seen.add((qname, kind))
             out.entity(kind, name, qname, parent, line(at), line(max(at, end - 1)), category=2 if kind == "package" else 1)
@@ -186,7 +190,7 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
     _imports(out, rules, text)
     if rules.calls:
         _calls(out, rules, code, module, owners, [x[3].start("n") for x in found])
-    _routes(out, rules, text, path, lang, line)
+    _routes(out, rules, text, code, path, lang, line, sorted(places), owners)
     if lang == "go":
         _go_routes(out, text, line)
     if lang in ("typescript", "react", "angular", "vue"):
@@ -235,18 +239,72 @@ def _calls(out: Facts, rules: Language, code: str, module: str, owners: list[tup
             out.call(src, "attribute", base, m["n"])
 
 
-def _routes(out: Facts, rules: Language, text: str, path: str, lang: str, line) -> None:
+def _flat(code: str) -> str:
+    """``code`` with what is inside brackets blank."""
+    opened: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for m in re.finditer(r"[()]", code):
+        if m[0] == "(":
+            opened.append(m.start())
+        elif opened:
+            spans.append((opened.pop(), m.end()))
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [code[at:a], " " * (b - a)]
+            at = b
+    return "".join([*out, code[at:]])
+
+
+def _args_end(code: str, m: re.Match) -> int:
+    """The end of the call or annotation that ``m`` begins."""
+    at = m[0].find("(")
+    return _end(code, m.start() + at, "parens") if at >= 0 else m.end()
+
+
+def _routes(out: Facts, rules: Language, text: str, code: str, path: str, lang: str, line, places: list[tuple[int, str]], owners: list[tuple[int, int, str, str]]) -> None:
     if rules.only_routes_in and not path.endswith(rules.only_routes_in):
         return
-    for pattern, confidence in rules.routes:
+    flat = _flat(code) if any("next" in r for r in rules.routes) else code
+    for pattern, confidence, *by in rules.routes:
         for m in re.finditer(pattern, text):
             g = m.groupdict()
             verb, route = (g.get("v") or "ANY"), g.get("p") or "/"
             if lang == "swift":
                 route = "/" + "/".join(p.lstrip(":") for p in re.findall(r'"([^"]*)"', route))
-            many = ("GET", "POST", "PUT", "PATCH", "DELETE") if verb in _REST or (verb == "resources" and lang == "elixir") else ("ANY",) if verb in ("match", "any", "resources", "Request") else (verb.upper(),)
+            elif "s" in g:
+                route = "".join("/" + (p[1:-1] if p[0] == '"' else ":id" if re.match(r"(?:Int|Long|UUID|IntPath|LongPath)Var\b", p) else ":" + p) for p in re.findall(r"""/\s*("[^"]*"|\w+)""", g["s"])) or "/"
+            elif lang in ("ruby", "scala") and not route.startswith("/"):
+                route = "/" + route
+            end, handler, many = m.end(), None, (verb.upper(),)
+            if by == ["module"]:
+                handler = out.module
+            elif by == ["inside"]:
+                handler = _owner(owners, m.start(), "")[0] or None
+            elif by == ["next"]:
+                end = _args_end(code, m)
+                at, name = next((x for x in places if x[0] >= end), (len(code), None))
+                handler = name if not re.search(r"[{};]", flat[end:at]) else None
+            if (lang == "php" and verb in _REST) or (lang == "elixir" and verb == "resources"):
+                many = ("GET", "POST", "PUT", "PATCH", "DELETE")
+            elif verb == "route":
+                said = code[m.end() : _args_end(code, m)]
+                many = tuple(v.upper() for v in ("get", "post", "put", "patch", "delete", "head", "options") if re.search(rf"(?<!\w){v}\(", said))
+            elif verb == "Route":
+                said = re.search(r"methods:\s*\[([^\]]*)\]", text[m.end() : end])
+                many = tuple(v.upper() for v in re.findall(r"""['"](\w+)['"]""", said[1])) if said else ()
+                many = many or ("ANY",)
+            elif verb == "Path":
+                # the verb is another annotation of the same declaration
+                start = max(flat.rfind(c, 0, m.start()) for c in "{};") + 1
+                said = flat[start : at if handler else end]
+                many = (next((v for v in ("GET", "POST", "PUT", "DELETE") if re.search(rf"@{v}\b", said)), "ANY"),)
+            elif verb == "root":
+                many = ("GET",)
+            elif verb in ("match", "any", "resources", "resource", "Request", "Controller"):
+                many = ("ANY",)
             for v in many:
-                out.route(v, route, None, confidence, line(m.start()))
+                out.route(v, route, handler, confidence, line(m.start()))
 
 
 def _go_routes(out: Facts, text: str, line) -> None:

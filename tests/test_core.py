@@ -224,6 +224,46 @@ def test_other_languages(spark):
         assert want <= got[p], (p, got[p])
 
 
+ROUTES = {
+    "R.java": (
+        '@RequestMapping("/v1")\npublic class R {\n  @PostMapping(value = "/x", consumes = {"a", "b"})\n  @Deprecated\n  public String go(@PathVariable("id") int k) { return ""; }\n  @GET\n  @Path("/j")\n  public String jax() { return ""; }\n  @GetMapping("/none")\n  String abstractOne();\n  public void after() { }\n}\n',
+        {("ANY", "/v1", "R::R"), ("POST", "/x", "R::R::go"), ("GET", "/j", "R::R::jax"), ("GET", "/none", None)},
+    ),
+    "r.cs": (
+        '[Route("api")]\npublic class C {\n  [HttpGet("y"), Authorize]\n  public int Run() { return 1; }\n  [HttpDelete]\n  public int Gone() { return 1; }\n  public void Use(App app) {\n    app.MapPut("/m", F);\n  }\n}\n',
+        {("ANY", "api", "r::C"), ("GET", "y", "r::C::Run"), ("DELETE", "/", "r::C::Gone"), ("PUT", "/m", "r::C::Use")},
+    ),
+    "r.php": (
+        "<?php\nclass K {\n  #[Route('/a/{id}', requirements: ['id' => '[0-9]'], methods: ['GET', 'POST'])]\n  public function f() { }\n  #[Route('/b')]\n  public function g() { }\n}\nRoute::get('/p', x);\n",
+        {("GET", "/a/{id}", "r::K::f"), ("POST", "/a/{id}", "r::K::f"), ("ANY", "/b", "r::K::g"), ("GET", "/p", None)},
+    ),
+    "r.rs": (
+        '#[get("/z")]\nfn z() {}\nfn app() { Router::new().route("/p", get(a).post(b)).route("/q/:id", target(delete(c))) }\n',
+        {("GET", "/z", "r"), ("GET", "/p", None), ("POST", "/p", None), ("DELETE", "/q/:id", None)},
+    ),
+    "config/routes.rb": (
+        "Rails.application.routes.draw do\n  root 'home#index'\n  get 'users', to: 'users#index'\n  resources :posts\n  resource :profile\nend\n",
+        {("GET", "/", None), ("GET", "/users", None), ("ANY", "/posts", None), ("ANY", "/profile", None)},
+    ),
+    "r.scala": (
+        'object O {\n  val s = HttpRoutes.of[IO] {\n    case GET -> Root / "users" / IntVar(id) => Ok(1)\n    case POST -> Root / "users" / name => Ok(1)\n    case DELETE -> Root => Ok(1)\n  }\n  val t = path("admin") { get { 1 } }\n}\n',
+        {("GET", "/users/:id", None), ("POST", "/users/:name", None), ("DELETE", "/", None), ("ANY", "/admin", None)},
+    ),
+}
+
+
+def test_routes_have_all_verbs_and_handlers(spark):
+    files = describe(spark.createDataFrame([(p, s) for p, (s, _) in ROUTES.items()], "path string, source string"))
+    facts = build.parse_files(files)
+    cells = facts.where("tag = 'cell' AND cell_type = 5").selectExpr("path", "get_json_object(text, '$.method') AS method", "substr(qname, 7) AS route", "get_json_object(text, '$.handler') AS handler").collect()
+    edges = {(r["path"], r["src"], r["dst"]) for r in facts.where("tag = 'edge' AND category = 9").collect()}
+    for p, (_, want) in ROUTES.items():
+        assert {(r["method"], r["route"], r["handler"]) for r in cells if r["path"] == p} == want, p
+        assert {e for e in edges if e[0] == p} == {(p, f"route:{route}", h) for _, route, h in want if h}
+    line = describe(spark.createDataFrame([("e.ts", "app.route('/a').get('/a', f).post('/b', g);\n")], "path string, source string"))
+    assert {(r["method"], r["route"]) for r in X.express_routes(line).collect()} == {("GET", "/a"), ("POST", "/b")}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "v double")
     assert tuple(stats.spread(df, "v").first()) == (0, 4.5, 9, 9, 10)
