@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from structgraph.llm.common import map_texts, materialize, table
 from structgraph.llm.components import connected_components
@@ -57,14 +57,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row."""
+def fingerprints(documents: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id`` and ``fp`` of every row, and its text columns ``keep``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x))})
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x)), **{c: x[c] for c in keep}})
 
-    return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, StructType([StructField("doc_id", LongType()), StructField("fp", LongType())]))
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(StructField(c, StringType()) for c in keep)])
+    return map_texts(documents.select(F.col("doc_id").cast("long"), "text", *keep), run, schema)
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -96,12 +97,17 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(some).unionByName(met.where("n = 2").select("a", "b")).unionByName(star).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row."""
-    found = materialize(fingerprints(documents))
+def _grouped(documents: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; of each distinct one ``fp``, its least doc_id and the ``root`` of its component."""
+    found = materialize(fingerprints(documents, *keep))
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = materialize(connected_components(links(distinct.select("fp"))))
-    own = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return found, distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` of every row."""
+    found, own = _grouped(documents)
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.select("fp", "root").join(named, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -113,10 +119,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document that names it (of equal doc_ids one row).
+    """Pipeline stage: of each component one row, that of the least doc_id (null after all others).
 
-    Rows without a doc_id can't name a component and go.
+    Rows go by a key of doc_id, text and the other columns, so rows that share
+    a doc_id, or have none, are told apart; of one doc_id the least key stays.
     """
-    found = near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256), F.hex(F.xxhash64(*docs.columns)))
+    keyed = docs.select("*", key.alias("_row_key"))
+    found, own = _grouped(keyed, "_row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key"))
+    kept = found.join(own.select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select("k._row_key")
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)

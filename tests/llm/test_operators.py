@@ -223,6 +223,14 @@ def test_simhash_edges(spark):
     assert ids == sorted(set(v for k, v in by.items() if k is not None))
 
 
+def test_documents_that_are_no_copies_stay(spark):
+    a, b, c, d = (prose(k, 200) for k in range(60, 64))
+    df = docs(spark, [a, a, b, c, c, d, b + " ends"], [3, 5, 5, None, None, None, None])
+    kept = simhash.keep_one(spark, df.union(df), "")
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (None, d)]))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600), (600, 600)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
