@@ -3,7 +3,9 @@
 A text is made canonical: lower case, copyright lines out, everything but
 ASCII letters and digits to single blanks, equivalent spellings to one.  The
 SHA-256 digest of the whole canonical text is joined to the digests of known
-licences, made by the same rules.
+licences, made by the same rules.  Texts that this doesn't find are looked up
+once more without copyright lines that have a name first (``NAMED``).  Long
+licences are known by that second digest alone (``REGISTERED``).
 
 Null and empty texts have the digest of the empty text, which is no licence.
 Repeated rows give repeated rows; of known licences with equal digests the
@@ -21,6 +23,8 @@ from structgraph.llm.common import table
 
 BROADCAST_ROWS = 100_000
 COPYRIGHT = r"(^|\n)[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
+#: In lower case: a copyright line with a name; what licences themselves say of copyright isn't one.
+NAMED = r"(^|\n)[ \t]*copyright:?[ \t]+(?!(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|on|of|to|is|as|for|this|that|if|protect\w*|rights?|status|acts?|treat\w*|materials?|works?|doctrines?|infring\w*|disclaimers?|permissions?)\b)[^\n]*"
 #: Equivalent spellings, after blanks are single.
 SPELLINGS = (
     ("licenc", "licens"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor"), ("honour", "honor"), ("whilst", "while"),
@@ -62,35 +66,73 @@ KNOWN = (
 )
 
 
-def canonical(text: str = "text"):
-    """The canonical form of a whole text."""
-    out = F.lower(F.coalesce(F.col(text), F.lit("")))
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1"), "[^a-z0-9]+", " "))
+#: Digests of entire texts by the rules below, without lines of ``NAMED``; a second
+#: one is of the text up to the end of its terms.
+REGISTERED = (
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
+    ("GFDL-1.3-only", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
+)
+
+
+def canonical(text: str = "text", named: bool = True):
+    """The canonical form of a whole text; without ``named``, lines of ``NAMED`` go too."""
+    out = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), COPYRIGHT, "$1")
+    out = F.trim(F.regexp_replace(out if named else F.regexp_replace(out, NAMED, "$1"), "[^a-z0-9]+", " "))
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
     return out
 
 
-def digests(known: DataFrame) -> DataFrame:
+def digests(known: DataFrame, named: bool = True) -> DataFrame:
     """``digest`` and ``license`` of known texts (``license``, ``text``)."""
-    own = known.select("license", canonical().alias("c")).where("c <> '' and license is not null")
+    own = known.select("license", canonical(named=named).alias("c")).where("c <> '' and license is not null")
     return own.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def lookup(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """All columns of ``documents``, ``digest`` of the canonical text and ``license`` (null: unknown)."""
+def lookup(documents: DataFrame, known: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """All columns of ``documents``, ``digest`` of the canonical text and ``license`` (null: unknown).
+
+    ``registered`` are further ``license``, ``digest`` of texts without lines of ``NAMED``.
+    """
     own = documents.drop("digest", "license").select("*", F.sha2(canonical(), 256).alias("digest"))
-    table_ = digests(known)
+    loose = F.when(F.lower("text").rlike(NAMED), F.sha2(canonical(named=False), 256))
+    own = own.select("*", F.coalesce(loose, "digest").alias("_loose"))
+    every = digests(known).unionByName(digests(known, named=False))
+    every = every if registered is None else every.unionByName(registered.select("digest", "license"))
+    table_ = every.groupBy("digest").agg(F.min("license").alias("license"))
     small = table_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return own.join(F.broadcast(table_) if small else table_, "digest", "left").select(*own.columns, "license")
+    table_ = F.broadcast(table_) if small else table_
+    second = table_.withColumnsRenamed({"digest": "_loose", "license": "_license"})
+    found = own.join(table_, "digest", "left").join(second, "_loose", "left")
+    return found.select(*[c for c in own.columns if c != "_loose"], F.coalesce("license", "_license").alias("license"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "license string, text string")
 
 
+def registered_digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(REGISTERED), "license string, digest string")
+
+
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup(table(spark, sf_dir, "documents").select("doc_id", "text"), known_texts(spark))
+    found = lookup(table(spark, sf_dir, "documents").select("doc_id", "text"), known_texts(spark), registered_digests(spark))
     return found.select("doc_id", "digest", "license")
 
 

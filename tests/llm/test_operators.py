@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -379,6 +380,18 @@ def test_licences(spark):
     assert [r["license"] for r in license.lookup(docs(spark, ["same words", "x y"]), many).orderBy("doc_id").collect()] == ["A", None]
 
 
+def test_licences_with_named_copyright_lines_and_long_texts(spark):
+    apache = "/usr/share/common-licenses/Apache-2.0"
+    texts = ["Copyright Jane Doe 2020\n\n" + license._MIT, "MIT License\n\nCopyright: The Foo Authors\n" + license._MIT, "Copyright Jane Doe 2020\n\nno licence", "Copyright notice\n" + license._MIT]
+    want = ["MIT", "MIT", None, None]
+    if os.path.exists(apache):
+        whole = open(apache, encoding="utf-8").read()
+        filled = whole.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Jane Doe")
+        texts, want = [*texts, whole, filled, whole + " more"], [*want, "Apache-2.0", "Apache-2.0", None]
+    got = [r["license"] for r in license.lookup(docs(spark, texts), license.known_texts(spark), license.registered_digests(spark)).orderBy("doc_id").collect()]
+    assert got == want
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I build it?\nThanks a lot"),
