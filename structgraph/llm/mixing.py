@@ -2,44 +2,51 @@
 
 A classifier fitted on the labelled table gives every document a posterior
 over domains (softmax over hashed terms).  Document rates r_i >= 0 are then
-fitted so that the expected tokens of each domain d meet its target:
+fitted by projected gradients so that the expected tokens of each domain d
+meet its target:
 
     minimise 1/2 sum_d (sum_i r_i t_i p_id - T_d)^2 / A_d,   r_i >= 0
 
 with t_i the tokens of document i and A_d the expected tokens there are.  In
-the inner product weighted by t_i the gradient of r_i is
-sum_d p_id (S_d - T_d) / A_d, whose Lipschitz constant is 1 because posteriors
-add up to 1, so a projected step of length one never overshoots.  A round is
-one pass over (tokens, posterior) that combines D sums map-side; only those D
-numbers and the squared length of the last step reach the driver; from them
-comes the next step's length (Barzilai and Borwein's, never under one), which
-needs far fewer rounds.  A document's rate follows from its posterior and the
-D-vectors of the rounds so far, so no state of documents is shuffled or
-rewritten between rounds.
+the inner product weighted by t_i the gradient of r_i is p_i . g with g of D
+numbers, g_d = (S_d - T_d) / A_d.  Steps are projected lazily: the steps of all
+rounds add up to one vector of D numbers, ``lean``, and a document's rate is
+the projection of 1 - p_i . lean on r_i >= 0.  So rates start at one, no state
+of documents is kept or shuffled between rounds, and of all rates that fit
+equally well those nearest to one are found.  A round is one pass that combines
+D sums and the D by D curvature of the documents with a rate above zero, which
+scales the step; a step that doesn't bring the fit closer is halved.
+
+Rounds go on until the residual is ``TOLERANCE`` of the target tokens.  Where
+no rates >= 0 reach the targets, a pull of ``PULL`` towards rates of one makes
+the nearest fit unique, and rounds end there.  Rates that haven't settled after
+``ROUNDS`` raise an error, so none is returned that misses what can be reached.
 
 Targets are shares of ``budget`` (by default all tokens), so documents keep a
 rate of about share wanted / share there.  Rates are expectations: 0.4 keeps
 four of ten such documents, 2.3 repeats one.
 
-Null and empty texts have no tokens, the posterior of the bias, and a rate
-like any document of that posterior.  Repeated rows and null ids count as any
-row.  An empty table gives an empty result; without labels the posterior is
-uniform.  Of several labels of a document the least quality and the most
-toxicity count.
+Words are runs of anything but ASCII white space.  Null and empty texts have no
+tokens, the posterior of the bias, and a rate like any document of that
+posterior.  Repeated rows and null ids count as any row.  An empty table gives
+an empty result; without labels the posterior is uniform.  Of several labels of
+a document the least quality and the most toxicity count.  Input columns stay
+whatever their names; where one has the name of a new column, that gets a ``_``
+behind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from structgraph.llm.common import map_texts, materialize, table
+from structgraph.llm.common import free_name, map_arrow, materialize, table
 from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: Domains of the labels table, and the share of tokens wanted of each.
@@ -48,8 +55,9 @@ TARGETS = (0.90, 0.08, 0.02)
 #: At most so many labelled rows are used to fit (bounds driver memory).
 FIT_ROWS = 16_000
 TERMS = 6144
-ROUNDS = 40
-TOLERANCE = 1e-4
+ROUNDS = 200
+TOLERANCE = 1e-8
+PULL = 1e-8
 
 
 @dataclass
@@ -111,83 +119,93 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Dom
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64), len(DOMAINS))
 
 
-def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS, text: bool = True, steps: np.ndarray | None = None) -> DataFrame:
-    """All columns of ``documents`` (``text`` only if asked for), ``n_tokens`` (words), ``p_<domain>``, and ``rate`` if ``steps`` are given."""
-    added = ["n_tokens", *(f"p_{d}" for d in names)]
-    rated = ["rate"] if steps is not None else []
-    docs = documents.drop(*added, *rated)
-    kept = [f for f in docs.schema.fields if text or f.name != "text"]
-    schema = StructType([*kept, StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in added[1:] + rated)])
+def memberships(documents: DataFrame, model: DomainClassifier, names: tuple[str, ...] = DOMAINS, text: bool = True) -> DataFrame:
+    """All columns of ``documents`` (``text`` only if asked for), ``n_tokens`` (words) and ``p_<domain>``."""
+    kept = [f for f in documents.schema.fields if text or f.name != "text"]
+    added = [free_name(c, documents.columns) for c in ("n_tokens", *(f"p_{d}" for d in names))]
+    schema = StructType([*kept, StructField(added[0], LongType()), *(StructField(c, DoubleType()) for c in added[1:])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(model.terms)
         for x in batches:
-            for i in range(0, len(x), 1000):
-                part = x.iloc[i : i + 1000]
-                at, rows, words = own.match(part["text"])
-                p = model.posterior_at(at, rows, len(part))
-                yield part[[f.name for f in kept]].assign(n_tokens=words, **{c: p[:, d] for d, c in enumerate(added[1:])}, **{c: _rates(p, steps) for c in rated})
+            at, rows, words = own.match(x.column("text"))
+            p = model.posterior_at(at, rows, x.num_rows)
+            new = [pa.array(words, pa.int64()), *(pa.array(p[:, d], pa.float64()) for d in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in kept), *new], [*(f.name for f in kept), *added])
 
-    return map_texts(docs, run, schema)
+    return map_arrow(documents, run, schema)
 
 
-def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the rounds whose scaled residuals are the rows of ``steps``."""
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.maximum(0.0, r - p @ g)
-    return r
+def _rates(p: np.ndarray, lean: np.ndarray) -> np.ndarray:
+    """Rates of the posteriors in the rows of ``p``."""
+    return np.maximum(0.0, 1.0 - p @ lean)
 
 
-def _sums(soft: DataFrame, names: tuple[str, ...], steps: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected tokens of each domain at the rates after ``steps``, and the last step's squared length."""
-    columns = [f"p_{d}" for d in names]
+def rate(columns: list[str], lean: np.ndarray) -> Column:
+    """The same as a column: the posteriors are in ``columns``."""
+    pull = sum((F.col(c) * float(x) for c, x in zip(columns, lean, strict=True)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 - pull)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, moved = np.zeros(len(columns)), 0.0
-        for x in batches:
-            p, t = x[columns].to_numpy(float), x["n_tokens"].to_numpy(float)
-            before = _rates(p, steps[:-1])
-            now = np.maximum(0.0, before - p @ steps[-1]) if len(steps) else before
-            total += (now * t) @ p
-            moved += float(t @ (now - before) ** 2)
-        yield pd.DataFrame([[*total, moved]], columns=[*columns, "moved"])
 
-    parts = soft.select("n_tokens", *columns).mapInPandas(run, ", ".join(f"{c} double" for c in [*columns, "moved"]))
-    *total, moved = (x or 0.0 for x in parts.agg(*[F.sum(c) for c in [*columns, "moved"]]).first())
-    return np.array(total), moved
+@dataclass
+class _Sums:
+    """Over all documents at some rates: expected tokens of each domain, curvature, tokens weighted by squared rates."""
 
+    tokens: np.ndarray
+    curvature: np.ndarray
+    squares: float
 
-def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, names: tuple[str, ...] = DOMAINS, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Scaled residuals of the projected-gradient rounds (rows), from which rates follow."""
-    there, _ = _sums(soft, names, np.empty((0, len(names))))
-    want = np.asarray(targets, float) / sum(targets) * (there.sum() if budget is None else budget)
-    steps, have, length, moved = np.empty((0, len(names))), there, 1.0, 0.0
-    scale, best, best_steps = np.maximum(there, 1e-9), np.inf, steps
-    for k in range(rounds + 1):
-        residual = have - want
-        if (loss := float((residual**2 / scale).sum())) < best:
-            best, best_steps = loss, steps
-        if float(np.abs(residual).max()) <= tolerance * max(1.0, want.sum()) or k == rounds or (k and moved <= tolerance**2 * max(1.0, want.sum())):
-            break
-        steps = np.vstack([steps, length * residual / scale])
-        before, (have, moved) = have, _sums(soft, names, steps)
-        curve = float(((have - before) ** 2 / scale).sum())
-        length = min(100.0, max(1.0, moved / curve)) if curve > 0 else 1.0
-    return best_steps
-
-
-def with_rates(soft: DataFrame, steps: np.ndarray, names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """All columns of ``soft`` and ``rate``."""
-    columns = [f"p_{d}" for d in names]
-    soft = soft.drop("rate")
-    schema = StructType([*soft.schema.fields, StructField("rate", DoubleType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield x.assign(rate=_rates(x[columns].to_numpy(float), steps))
 
-    return soft.mapInPandas(run, schema)
+def _sums(soft: DataFrame, names: tuple[str, ...], lean: np.ndarray) -> _Sums:
+    p, n = [f"p_{d}" for d in names], len(names)
+    own = soft.select(F.col("n_tokens").cast("double").alias("t"), *p, rate(p, lean).alias("r"))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    parts = [F.sum(F.col("t") * F.col("r") * F.col(c)) for c in p]
+    parts += [F.sum(F.when(F.col("r") > 0, F.col("t") * F.col(p[i]) * F.col(p[j]))) for i, j in pairs]
+    found = [x or 0.0 for x in own.agg(*parts, F.sum(F.col("t") * F.col("r") * F.col("r"))).first()]
+    curvature = np.zeros((n, n))
+    for (i, j), x in zip(pairs, found[n:-1], strict=True):
+        curvature[i, j] = curvature[j, i] = x
+    return _Sums(np.array(found[:n]), curvature, found[-1])
+
+
+def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, names: tuple[str, ...] = DOMAINS, budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """``lean``, from which ``rate`` follows; see the module."""
+    return settle(lambda lean: _sums(soft, names, lean), targets, budget, rounds, tolerance)
+
+
+def settle(sums: Callable[[np.ndarray], _Sums], targets: tuple[float, ...], budget: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The rounds; ``sums`` makes the pass over the documents."""
+    lean = np.zeros(len(targets))
+    now = sums(lean)
+    if not now.tokens.sum() > 0:
+        return lean
+    want = np.asarray(targets, float) / sum(targets) * (now.tokens.sum() if budget is None else budget)
+    scale = PULL * np.maximum(now.tokens, 1e-9 * now.tokens.sum())
+    close = tolerance * max(1.0, want.sum())
+    loss = lambda s, x: s.squares / 2 + want @ x + scale @ x**2 / 2
+    slope = lambda s, x: s.tokens - want - scale * x
+    for _ in range(rounds):
+        residual = slope(now, lean)
+        if np.abs(residual).max() <= close:
+            return lean
+        step, length = np.linalg.solve(now.curvature + np.diag(scale), residual), 1.0
+        while True:
+            at = lean + length * step
+            then = sums(at)
+            lower = loss(then, at) <= loss(now, lean) - 1e-4 * length * (residual @ step)
+            if lower or np.linalg.norm(slope(then, at)) < 0.5 * np.linalg.norm(residual):
+                lean, now = at, then
+                break
+            length /= 2
+            if length < 1e-12:
+                raise RuntimeError(f"rates don't settle: {np.abs(residual).max():.3g} tokens off")
+    raise RuntimeError(f"rates haven't settled after {rounds} rounds")
+
+
+def with_rates(soft: DataFrame, lean: np.ndarray, names: tuple[str, ...] = DOMAINS, columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``soft`` and ``rate``; the posteriors are in ``columns`` (by default ``p_<domain>``)."""
+    return soft.withColumn(free_name("rate", soft.columns), rate(columns or [f"p_{d}" for d in names], lean))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,5 +218,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its memberships and rate."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
     soft = materialize(memberships(docs.select("text"), model, text=False))
-    # texts pass through Python once: memberships and rates in one step
-    return memberships(docs, model, steps=fit_rates(soft))
+    # texts are read twice; a copy of them with the memberships would cost more
+    columns = [free_name(f"p_{d}", docs.columns) for d in DOMAINS]
+    return with_rates(memberships(docs, model), fit_rates(soft), columns=columns)

@@ -2,95 +2,88 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structgraph.llm import textbytes as tb
+from structgraph.llm.common import bounded_sample, map_arrow, materialize
+
 #: Terms are hashed into so many buckets.
 BUCKETS = 1 << 18
 #: Terms with a smaller G statistic are left to chance.
-LEAST_G = 15.0
-_STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_/\\+=~`^@"
-_WORD, _FOUR, _FIVE = (zlib.crc32(x) for x in (b"w", b"4", b"5"))
-_CACHE: dict[str, tuple[int, ...]] = {}
-_CACHE_MAX = 50_000
-#: Words of a Matcher's generation; there are two.
-_GENERATION = 25_000
-
-
-def _ids(raw: str) -> tuple[int, ...]:
-    """A word gives itself, its first four and five letters, and its edge marks."""
-    word = raw.strip(_STRIP)
-    out = {zlib.crc32(word.encode("utf-8", "replace"), _WORD) % BUCKETS} if word else set()
-    if len(word) > 4:
-        out.add(zlib.crc32(word[:4].encode("utf-8", "replace"), _FOUR) % BUCKETS)
-        if len(word) > 5:
-            out.add(zlib.crc32(word[:5].encode("utf-8", "replace"), _FIVE) % BUCKETS)
-    if mark := raw[len(raw.rstrip(_STRIP)) :]:
-        out.add(zlib.crc32(b"m" + mark[:8].encode()) % BUCKETS)
-    return tuple(out)
+LEAST_G = 8.0
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b".,;:!?\"'()[]{}<>|#*$%&-_/\\+=~`^@")] = True
+#: Marks at a word's end count up to so many characters.
+_MARKS = 8
+
+
+def text_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: the text and the id of every term of every word, and the words of every text.
+
+    A word gives itself without the marks around it, its first four and five
+    letters, and the marks at its end.
+    """
+    data, at = tb.text_bytes(tb.lowered(column))
+    starts, ends = tb.words(data, at)
+    text = tb.owners(starts, at)
+    n_words = np.bincount(text, minlength=len(at) - 1)
+    inner = ~_EDGE[data] & ~tb._SPACE[data]
+    inner_at, inner_before = np.flatnonzero(inner), tb.before(inner)
+    lead = (data & 0xC0) != 0x80
+    lead_at, lead_before = np.flatnonzero(lead), tb.before(lead)
+    rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for part in tb.blocks(starts, ends):
+        a, b, of = starts[part], ends[part], text[part]
+        hashes = tb.Hashes(data, int(a[0]), int(b[-1]))
+        first, last = inner_before[a], inner_before[b]
+        has = last > first
+        wa = inner_at[first[has]]
+        wb = inner_at[last[has] - 1] + 1
+        char = lead_before[wa]
+        n = lead_before[wb] - char
+        tail = a.copy()
+        tail[has] = wb
+        mark = tail < b
+        spans = [(of[has], wa, wb), (of[mark], tail[mark], np.minimum(b, tail + _MARKS)[mark])]
+        spans += [(of[has][n > k], wa[n > k], lead_at[char[n > k] + k]) for k in (4, 5)]
+        for salt, (own, x, y) in enumerate(spans, 1):
+            rows.append(own)
+            found.append((hashes.of(x, y, salt) % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(found), n_words
+
+
+def batch_terms(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct term ids of every text of a batch."""
+    rows, ids, _ = text_terms(column)
+    both = np.unique(rows * BUCKETS + ids)
+    return np.split((both % BUCKETS).astype(np.int32), np.searchsorted(both, np.arange(1, len(column)) * BUCKETS))[: len(column)]
 
 
 def term_ids(text: str | None) -> np.ndarray:
     """Sorted distinct term ids of a whole text (null: none)."""
-    if not text:
-        return np.empty(0, np.int32)
-    found: set[int] = set()
-    for raw in set(text.lower().split()):
-        ids = _CACHE.get(raw)
-        if ids is None:
-            if len(_CACHE) >= _CACHE_MAX:
-                _CACHE.clear()
-            ids = _ids(raw)
-            if len(raw) < 64:
-                _CACHE[raw] = ids
-        found.update(ids)
-    out = np.fromiter(found, np.int32, len(found))
-    out.sort()
-    return out
-
-
-class Matcher(dict):
-    """Finds which of ``chosen`` (sorted term ids) whole texts have, word by word.
-
-    It is the map from a word to the places of its terms in ``chosen``: words
-    without any cost one lookup.  One serves one task, so what it remembers
-    goes with the task.
-    """
+    return batch_terms(pa.array([text], pa.string()))[0]
+
+
+class Matcher:
+    """Finds which of ``chosen`` (sorted term ids) whole texts have."""
 
     def __init__(self, chosen: np.ndarray) -> None:
-        super().__init__()
-        self.places = {t: k for k, t in enumerate(chosen.tolist())}
-        self.before: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        out = self.before.get(raw)
-        if out is None:
-            out = tuple(self.places[t] for t in _ids(raw) if t in self.places)
-        if len(raw) < 64:
-            if len(self) >= _GENERATION:  # words in use come back from the generation before
-                self.before = dict(self)
-                self.clear()
-            self[raw] = out
-        return out
-
-    def match(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.n = max(1, len(chosen))
+        self.place = np.full(BUCKETS, -1, np.int64)
+        self.place[chosen] = np.arange(len(chosen))
+
+    def match(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of every text's terms, one after another, the text of each, and the words of every text."""
-        found, words = [], []
-        for text in texts:
-            raw = text.lower().split() if text else []
-            words.append(len(raw))
-            own = set(chain.from_iterable(map(self.__getitem__, set(raw))))
-            at = np.fromiter(own, np.int64, len(own))
-            at.sort()
-            found.append(at)
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        return np.concatenate([np.empty(0, np.int64), *found]), rows, np.array(words, np.int64)
+        rows, ids, words = text_terms(column)
+        own = self.place[ids]
+        both = np.unique(rows[own >= 0] * self.n + own[own >= 0])
+        return both % self.n, both // self.n, words
 
 
 def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: int, classes: int, keep: int) -> pd.DataFrame:
@@ -101,16 +94,12 @@ def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: in
     and what the driver receives: counts per term and class, then of each
     document only the terms that ``select_terms`` would keep.
     """
-    from structgraph.llm.common import bounded_sample, map_texts, materialize
-
     sample = bounded_sample(labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null"), "doc_id", rows)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i in range(0, len(x), 500):
-                part = x.iloc[i : i + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "terms": [term_ids(t).tobytes() for t in part["text"]]})
-        _CACHE.clear()  # workers outlive their tasks
+            own = pa.array([t.tobytes() for t in batch_terms(x.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("label"), own], ["doc_id", "label", "terms"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((classes, BUCKETS), np.int32)
@@ -120,7 +109,8 @@ def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: in
         y, t = np.nonzero(total)
         yield pd.DataFrame({"label": y.astype(np.int32), "term": t.astype(np.int32), "n": total[y, t].astype(np.int64)})
 
-    found = map_texts(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), extract, "doc_id long, label int, terms binary")
+    own = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long"), "label")), "doc_id").select("doc_id", "label", "text")
+    found = map_arrow(own, extract, "doc_id long, label int, terms binary")
     found = materialize(found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")))
     seen, sizes = np.zeros((classes, BUCKETS)), np.zeros(classes)
     for r in found.groupBy("label").agg(F.count("*").alias("n")).collect():

@@ -12,7 +12,8 @@ Null and empty texts get the score of w0 alone.  Rows with equal doc_id are
 scored each by its own text; a null doc_id is scored and never used to fit.
 Of several labels of a document the largest counts.  Without labels (or with
 one class only) every score is the base rate, 0 if there is none.  Columns
-other than doc_id, text, toxic are neither read nor needed.
+other than doc_id, text, toxic are neither needed nor changed, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from structgraph.llm.common import map_texts, table
+from structgraph.llm.common import free_name, map_arrow, table
 from structgraph.llm.terms import Matcher, labelled_terms, packed, select_terms
 
 #: At most so many labelled rows are used to fit (bounds driver memory).
@@ -115,24 +117,18 @@ def fit_on(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Fac
     return fit(list(found["terms"]), found["label"].to_numpy(np.int64))
 
 
-def score(documents: DataFrame, model: FactorizationMachine, text: bool = True) -> DataFrame:
-    """All columns of ``documents`` (``text`` only if asked for) and ``toxicity`` (double, 0 to 1)."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    if "toxicity" in documents.columns:
-        documents = documents.withColumnRenamed("toxicity", "toxicity_before")
+def score(documents: DataFrame, model: FactorizationMachine, column: str = "toxicity", text: bool = True) -> DataFrame:
+    """All columns of ``documents`` (``text`` only if asked for) and their score under the name ``column`` (double, 0 to 1)."""
     kept = [f for f in documents.schema.fields if text or f.name != "text"]
-    schema = StructType([*kept, StructField("toxicity", DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(model.terms)
         for x in batches:
-            for i in range(0, len(x), 1000):
-                part = x.iloc[i : i + 1000]
-                at, rows, _ = own.match(part["text"])
-                yield part[[f.name for f in kept]].assign(toxicity=model.score_at(at, rows, len(part)))
+            at, rows, _ = own.match(x.column("text"))
+            scores = pa.array(model.score_at(at, rows, x.num_rows), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in kept), scores], [*(f.name for f in kept), column])
 
-    return map_texts(documents, run, schema)
+    return map_arrow(documents, run, StructType([*kept, StructField(column, DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +139,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that score below the threshold."""
-    model = fit_on(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), model)
-    return scored.where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    """Pipeline stage: the documents that score below the threshold, columns as they were."""
+    column = free_name("toxicity", docs.columns)
+    scored = score(docs, fit_on(docs, table(spark, sf_dir, "labels")), column)
+    return scored.where(F.col(column) < THRESHOLD).select(*docs.columns)
