@@ -1,16 +1,22 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint of 64 bits is cut into two segments of 32.  Two fingerprints
-that differ in two bits at most have a segment that differs in one bit at
-most, and such segments share a variant with one position wiped out.  So each
-*distinct* fingerprint is indexed under 64 variants, variants are joined on
-equality and candidates are verified by the Hamming distance.
-
-A variant that many fingerprints share isn't paired within itself.  Its
-members go on to an exact second index: all fingerprints one bit away from
-each, and itself.  Two fingerprints are within two bits if and only if they
-meet under such a key, and at most 65 can meet under one, so linking them to
-the least of them costs a fixed number of rows each, however large a group is.
+that differ in two bits at most differ in the upper segment by one bit at most,
+and then share one of its 32 variants with one position wiped out, or by two,
+and then their lower segments are equal.  So each *distinct* fingerprint is
+indexed under 32 one-wildcard variants of the upper segment and under its whole
+lower segment, keys are joined on equality and candidates are verified by the
+Hamming distance.
+
+Keys are counted first; a key of two members names both in its count.  Only
+members of keys with more are joined, and a bit array of those keys, of the
+same size whatever the input, leaves most others out of that second shuffle.
+
+A key that many fingerprints share isn't paired within itself.  Its members go
+on to an exact second index: all fingerprints one bit away from each, and
+itself.  Two fingerprints are within two bits if and only if they meet under
+such a key, and at most 65 can meet under one, so linking them to the least of
+them costs a fixed number of rows each, however large a group is.
 
 Texts: A-Z lower-cased, words of ``[^\\x20\\x09-\\x0D]+``, three-word shingles
 with repeats (fewer words: the whole sequence), XXH64 with seed 42.  Null,
@@ -24,16 +30,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from structgraph.llm.common import map_texts, materialize, table
+from structgraph.llm.common import bit_array, map_arrow, materialize, may_be_in, table
 from structgraph.llm.components import connected_components
 
-#: Variants with more members than this go to the exact second index.
+#: Members of keys with more of them than this go to the exact second index.
 CROWDED = 32
 WORDS = 3
 _BLOCK = 1 << 16
@@ -41,7 +47,11 @@ _BLOCK = 1 << 16
 
 def fingerprint(text: str | None) -> int:
     """Signed 64-bit fingerprint of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return _fingerprint((text or "").encode("utf-8", "surrogatepass"))
+
+
+def _fingerprint(text: bytes) -> int:
+    words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -60,18 +70,20 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(documents: DataFrame, *keep: str) -> DataFrame:
     """``doc_id`` and ``fp`` of every row, and its text columns ``keep``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x)), **{c: x[c] for c in keep}})
+            text = x.column("text")
+            fps = np.fromiter((_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in text), np.int64, len(text))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(fps), *(x.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
     schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(StructField(c, StringType()) for c in keep)])
-    return map_texts(documents.select(F.col("doc_id").cast("long"), "text", *keep), run, schema)
+    return map_arrow(documents.select(F.col("doc_id").cast("long"), "text", *keep), run, schema)
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """Segment number, wiped position and what is left, in one long."""
-    rest = "transform(sequence(0, 31), j -> shiftleft(cast({k} * 32 + j as bigint), 32) | (shiftrightunsigned(fp, {k} * 32) & 4294967295L & ~shiftleft(1L, j)))"
-    return fps.select("fp", F.explode(F.expr(f"concat({rest.format(k=0)}, {rest.format(k=1)})")).alias("key"))
+def _keys(fps: DataFrame) -> DataFrame:
+    """``fp`` and its keys: the wiped position and what is left of the upper segment, and (at place 32) the lower segment."""
+    wiped = "transform(sequence(0, 31), j -> shiftleft(cast(j as bigint), 32) | (shiftrightunsigned(fp, 32) & ~shiftleft(1L, j)))"
+    return fps.select("fp", F.explode(F.expr(f"concat({wiped}, array(shiftleft(32L, 32) | (fp & 4294967295L)))")).alias("key"))
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -81,12 +93,13 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     variants are connected through the least fingerprint that meets them.
     """
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    # checkpoints of small rows have few partitions, and each row here becomes 64
+    # checkpoints of small rows have few partitions, and each row here becomes 33
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = _variants(fps.repartition(parts, "fp"))
-    shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    keys = _keys(fps.repartition(parts, "fp"))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = shared.where("n = 2").select("a", "b").where(near)
-    members = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"))
+    more = shared.where("n > 2").select("key", "n")
+    members = materialize(keys.where(may_be_in(bit_array(more, "key"), "key")).join(more, "key"))
     few = members.where(F.col("n") <= crowded)
     some = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(F.col("a") < F.col("b")).where(near).select("a", "b")
     # all that is one bit away, and itself
