@@ -4,18 +4,23 @@ A line's quote level is the number of leading ``>`` marks.  Runs of lines of
 one level (a blank line or another level ends a run) are passages; they are
 normalised (lower case, single blanks, no marks) and hashed.  Quoted passages
 are joined to the messages that first said them as own text, in the same
-conversation before any other.  Each message then has a parent: the latest
-earlier message of its conversation that it quotes at the lowest level, or the
-one before it.  Following quotes gives the message that a thread starts with;
-``(thread_turn, turn)`` orders a conversation so that replies follow what they
-quote, thread by thread.  Texts come back without quotes and without the line
-that announces one.
+conversation before any other: as a whole passage, a line or a sentence of one
+(a sentence ends with ``.``, ``!`` or ``?`` before a blank).  Each message then
+has a parent: the latest earlier message of its conversation that it quotes at
+the lowest level, or the one before it.  Following quotes gives the message
+that a thread starts with; ``(thread_turn, turn)`` orders a conversation so that
+replies follow what they quote, thread by thread.  Texts come back without
+quotes and without the line that announces one (``On … wrote:``, ``… said:``
+right before a quote).
 
 Null texts are empty.  Null ids link to nothing and stay.  Rows with equal
 (conv_id, turn) are messages of their own that share parent and thread.  Of
-several first sayings the smallest (conv_id, turn) counts.  Passages of one
-word or less link to nothing.  No conversation, passage or thread is gathered
-in one task: sayings are reduced to one per passage before they are joined,
+several first sayings the smallest (conv_id, turn) counts, of the quote's own
+conversation only an earlier one.  Passages without a word link to nothing.
+No conversation, passage or thread is gathered in one task: sayings are reduced
+to one per conversation and passage, and to the two least conversations of a
+passage, before quotes are joined to them, so one side of that join has a row a
+passage and the engine splits a passage with many quotes (adaptive skew joins);
 turns are chained through blocks of ``BLOCK``.
 """
 
@@ -37,18 +42,29 @@ _MARKS = re.compile(r"(?:[ \t]?>)+")
 _ANNOUNCED = re.compile(r"(?:on\b.{0,200}\bwrote|.{1,80}\b(?:wrote|said)) ?:", re.I)
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+def _hash(text: str) -> int | None:
+    """Of the normalised text (null: no word)."""
+    words = text.lower().split()
+    if not words:
+        return None
+    h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def passages(text: str | None) -> tuple[str, list[tuple[int, int]]]:
-    """The text without quotes, and level and hash of every passage (level 0: own)."""
+    """The text without quotes, and level and hash of every passage (level 0: own, and its lines and sentences)."""
     own: list[str] = []
     found: list[tuple[int, int]] = []
     run: list[str] = []
     at = 0
 
     def close() -> None:
-        words = " ".join(run).lower().split()
-        if len(words) > 1:
-            h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-            found.append((at, h - (1 << 64) if h >> 63 else h))
+        whole = " ".join(run)
+        parts = [whole] if at else [whole, *run, *_SENTENCE.split(whole)]
+        found.extend((at, h) for h in dict.fromkeys(map(_hash, parts)) if h is not None)
         run.clear()
 
     for line in (text or "").split("\n"):
@@ -88,14 +104,14 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     asked = quoted.select("hash").distinct()
     said = known.where("level = 0").join(asked, "hash", "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("from_turn"))
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("first"))
+    # the least conversation may be the quote's own, which said it later
+    second = said.join(first, "hash").where("conv_id <> first.conv_id").groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("second"))
+    both = first.join(second, "hash", "left")
     here = quoted.join(said, ["conv_id", "hash"], "left").withColumn("from_turn", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")))
-    there = here.join(first, "hash", "left")
-    other = F.col("from_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id"))
-    return there.select(
-        "conv_id", "turn", "level", "hash",
-        F.when(F.col("from_turn").isNotNull(), F.col("conv_id")).when(other, F.col("first.conv_id")).alias("from_conv"),
-        F.when(F.col("from_turn").isNotNull(), F.col("from_turn")).when(other, F.col("first.from_turn")).alias("from_turn"),
-    )
+    there = here.join(both, "hash", "left")
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    origin = F.when(F.col("from_turn").isNotNull(), F.struct("conv_id", "from_turn")).otherwise(other)
+    return there.select("conv_id", "turn", "level", "hash", origin.alias("o")).select("conv_id", "turn", "level", "hash", F.col("o.conv_id").alias("from_conv"), "o.from_turn")
 
 
 def turns_before(turns: DataFrame) -> DataFrame:
