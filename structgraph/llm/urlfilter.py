@@ -6,9 +6,12 @@ domain) was added or removed.  Entries become validity intervals
 were active on the day it was fetched.
 
 Captures are first reduced to distinct (host, day), so the as-of join has one
-probe per host, day and domain level whatever the number of captures, and is
-keyed by pattern and period of ``PERIOD`` days, so neither a busy host nor a
-long history meets in one task.  Verdicts go back by (host, day).
+probe per host, day and domain level whatever the number of captures.  Probes
+whose pattern has no bit in the bit array of listed patterns are left out
+before they are shuffled, the others are joined by pattern and period of
+``PERIOD`` days.  Verdicts go back by (host, day); captures without a host or a
+day pass by the join.  The list's side of both joins has few rows a key, and
+the engine splits a key with many captures (adaptive skew joins).
 
 Of several entries of a pattern on one day an addition wins.  A pattern that
 is added twice stays active; one that is removed first is not.  The longest
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from structgraph.llm.common import table
+from structgraph.llm.common import bit_array, may_be_in, table
 
 PERIOD = 32
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -49,12 +52,15 @@ def as_of(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     probes = own.select("host", "fetch_day").where("host is not null and fetch_day is not null").distinct()
     labels = "transform(array(split(host, '[.]')), l -> transform(sequence(1, size(l)), i -> array_join(slice(l, i, size(l)), '.')))[0]"
     levels = probes.select("host", "fetch_day", F.explode(F.expr(labels)).alias("pattern"), F.expr(f"cast(floor(fetch_day / {PERIOD}) as bigint)").alias("period"))
+    levels = levels.where(may_be_in(bit_array(intervals.select("pattern").distinct(), "pattern"), "pattern"))
     last = captures.agg(F.max("fetch_day")).scalar()
     open_ = intervals.select("pattern", "valid_from", "valid_to", F.least(F.coalesce(F.col("valid_to") - 1, last), last).alias("until")).where("valid_from <= until")
     spans = open_.select("pattern", "valid_from", "valid_to", F.explode(F.expr(f"sequence(cast(floor(valid_from / {PERIOD}) as bigint), cast(floor(until / {PERIOD}) as bigint))")).alias("period"))
     met = levels.join(spans, ["pattern", "period"]).where("valid_from <= fetch_day AND (valid_to IS NULL OR fetch_day < valid_to)")
     best = met.groupBy("host", "fetch_day").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", F.col("valid_from").alias("listed_day"))).alias("best"))
-    out = own.join(best, ["host", "fetch_day"], "left")
+    known = F.col("host").isNotNull() & F.col("fetch_day").isNotNull()
+    out = own.where(known).join(best, ["host", "fetch_day"], "left").select(*own.columns, "best")
+    out = out.unionByName(own.where(~known).withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
     return out.select(*own.columns, F.col("best").isNotNull().alias("blocked"), "best.pattern", "best.listed_day")
 
 
