@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from structgraph.llm.common import table
 
 BROADCAST_ROWS = 100_000
-COPYRIGHT = r"(^|\n)[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
+#: A copyright line may begin with marks, as those of a comment.
+COPYRIGHT = r"(^|\n)[^a-z0-9©(\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 #: In lower case: a copyright line with a name; what licences themselves say of copyright isn't one.
-NAMED = r"(^|\n)[ \t]*copyright:?[ \t]+(?!(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|on|of|to|is|as|for|this|that|if|protect\w*|rights?|status|acts?|treat\w*|materials?|works?|doctrines?|infring\w*|disclaimers?|permissions?)\b)[^\n]*"
+NAMED = r"(^|\n)[^a-z0-9©(\n]*copyright:?[ \t]+(?!(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|on|of|to|is|as|for|this|that|if|protect\w*|rights?|status|acts?|treat\w*|materials?|works?|doctrines?|infring\w*|disclaimers?|permissions?)\b)[^\n]*"
 #: Equivalent spellings, after blanks are single.
 SPELLINGS = (
     ("licenc", "licens"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor"), ("honour", "honor"), ("whilst", "while"),
@@ -82,7 +83,9 @@ REGISTERED = (
     ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
     ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
     ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
     ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
     ("GFDL-1.2-only", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),
@@ -123,12 +126,17 @@ def lookup(documents: DataFrame, known: DataFrame, registered: DataFrame | None
     return found.select(*[c for c in own.columns if c != "_loose"], F.coalesce("license", "_license").alias("license"))
 
 
+def _values(spark: SparkSession, rows: tuple[tuple[str, str], ...], columns: str) -> DataFrame:
+    args = {f"v{i}_{j}": x for i, r in enumerate(rows) for j, x in enumerate(r)}
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'(:v{i}_0, :v{i}_1)' for i in range(len(rows)))} AS t({columns})", args)
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    return _values(spark, KNOWN, "license, text")
 
 
 def registered_digests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REGISTERED), "license string, digest string")
+    return _values(spark, REGISTERED, "license, digest")
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
