@@ -2,9 +2,11 @@
 
 Patterns (leftmost, non-overlapping, kind by kind): ``assign``, ``access``,
 ``hex``.  The battery adds spans of kind ``random``: maximal runs of
-``[A-Za-z0-9+/_=-]`` of ``LEAST`` characters or more, with at least one digit
-and one letter.  For each run an encoding is inferred (hex, base32, 36 or 64
-symbols) and three tests of "drawn uniformly from that alphabet" are made:
+``[A-Za-z0-9+/_-]`` of ``LEAST`` characters or more, and the ``=`` behind them,
+with at least one digit and one letter.  In a run of letters, digits and
+hyphens the hyphens are separators (as in a UUID) and are not tested.  For each
+run an encoding is inferred (hex, base32, 36 or 64 symbols) and three tests of
+"drawn uniformly from that alphabet" are made:
 
 * chi-squared of the symbol counts against the uniform,
 * runs above and below the alphabet's middle,
@@ -36,7 +38,7 @@ HEX = "[0-9a-f]+"
 #: A run of 16 or more is what HEX finds with its length test; it is cheaper to look for.
 HEX_LONG = "[0-9a-f]{16,}"
 LEAST = 20
-RUN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST
+RUN = "[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 #: Encodings: name, alphabet, and how far language is from uniform per character.
 ENCODINGS = (
     ("hex", "0123456789abcdef", 2.0),
@@ -98,8 +100,8 @@ def _battery(x: str) -> str:
     for name, alphabet, skew in ENCODINGS:
         k = len(alphabet)
         rows.append((name, alphabet, k, skew))
-    # the body without padding; - and _ stand for + and / of the URL-safe alphabet
-    body = f"translate(rtrim('=', {x}), '-_', '+/')"
+    # the body without padding and separators; else - and _ stand for + and / of the URL-safe alphabet
+    body = f"if({x} rlike '^[A-Za-z0-9-]+=*$', translate({x}, '-=', ''), translate(rtrim('=', {x}), '-_', '+/'))"
     choose = "CASE WHEN y rlike '^[0-9a-f]+$' OR y rlike '^[0-9A-F]+$' THEN 0 WHEN y rlike '^[A-Z2-7]+$' THEN 1 WHEN y rlike '^[a-z0-9]+$' OR y rlike '^[A-Z0-9]+$' THEN 2 ELSE 3 END"
     alphabet = "CASE e " + " ".join(f"WHEN {i} THEN '{r[1]}'" for i, r in enumerate(rows)) + " END"
     size = "CASE e " + " ".join(f"WHEN {i} THEN {r[2]}D" for i, r in enumerate(rows)) + " END"
