@@ -99,8 +99,8 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
-#: Bits of a ``bit_array``: 2 MB, whatever the number of keys.
-BITS = 1 << 24
+#: Bits of a ``bit_array``: half a MB, whatever the number of keys.
+BITS = 1 << 22
 
 
 def bit_array(keys: DataFrame, key: str, bits: int = BITS) -> Column:

@@ -62,8 +62,9 @@ _WORD[list(b"0123456789_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")]
 def _letters() -> np.ndarray:
     """Of each code point whether it is a letter, a digit or ``_``."""
     out = np.zeros(0x110000, bool)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    out[[ord(c) for c in re.findall(r"\w", "".join(map(chr, points)))]] = True
+    for block in range(0, 0x110000, 1 << 14):
+        points = [p for p in range(block, block + (1 << 14)) if not 0xD800 <= p < 0xE000]
+        out[[ord(c) for c in re.findall(r"\w", "".join(map(chr, points)))]] = True
     return out
 
 
@@ -83,13 +84,18 @@ def _word_bytes(data: np.ndarray) -> np.ndarray:
 
 def batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens of a batch of texts, and of each text the place of its first (and the end)."""
-    data, at = tb.text_bytes(tb.lowered(column))
-    starts, ends = tb.runs(_word_bytes(data), at)
-    out = np.empty(len(starts), np.uint64)
-    for part in tb.blocks(starts, ends):
-        a, b = starts[part], ends[part]
-        out[part] = tb.Hashes(data, int(a[0]), int(b[-1])).of(a, b)
-    return out, np.searchsorted(starts, at)
+    found, firsts, n = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for _, own in tb.pieces(column):
+        data, at = tb.text_bytes(tb.lowered(own))
+        starts, ends = tb.runs(_word_bytes(data), at)
+        out = np.empty(len(starts), np.uint64)
+        for part in tb.blocks(starts, ends):
+            a, b = starts[part], ends[part]
+            out[part] = tb.Hashes(data, int(a[0]), int(b[-1])).of(a, b)
+        found.append(out)
+        firsts.append(n + np.searchsorted(starts, at[1:]))
+        n += len(out)
+    return np.concatenate(found), np.concatenate(firsts)
 
 
 def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:

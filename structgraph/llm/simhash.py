@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from structgraph.llm.common import bit_array, map_arrow, materialize, may_be_in, table
+from structgraph.llm.common import bit_array, free_name, map_arrow, materialize, may_be_in, table
 from structgraph.llm.components import connected_components
 
 #: Members of keys with more of them than this go to the exact second index.
@@ -136,10 +136,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows go by a key of doc_id, text and the other columns, so rows that share
     a doc_id, or have none, are told apart; of one doc_id the least key stays.
+    Rows whose key has no bit in the bit array of keys that go, or that several
+    rows have, stay without a shuffle of their texts.
     """
+    name = free_name("row_key", docs.columns)
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256), F.hex(F.xxhash64(*docs.columns)))
-    keyed = docs.select("*", key.alias("_row_key"))
-    found, own = _grouped(keyed, "_row_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key"))
-    kept = found.join(own.select("fp", "root"), "fp").groupBy("root").agg(first.alias("k")).select("k._row_key")
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    keyed = docs.select("*", key.alias(name))
+    found, own = _grouped(keyed, name)
+    rows = found.groupBy(name, "doc_id", "fp").agg(F.count("*").alias("n")).join(own.select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(name).alias("k"))
+    rows = materialize(rows.select(name, "n", "root", order.alias("o")))
+    first = rows.groupBy("root").agg(F.min("o").alias("first"))
+    gone = rows.join(first, "root").where(F.col("o.k") != F.col("first.k")).select(name)
+    gone = materialize(gone)
+    asked = bit_array(gone.unionByName(rows.where("n > 1").select(name)), name)
+    some = keyed.where(may_be_in(asked, name)).join(gone, name, "left_anti").dropDuplicates([name])
+    return keyed.where(~may_be_in(asked, name)).unionByName(some.select(*keyed.columns)).select(*docs.columns)

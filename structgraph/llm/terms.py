@@ -60,9 +60,12 @@ def text_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def batch_terms(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct term ids of every text of a batch."""
-    rows, ids, _ = text_terms(column)
-    both = np.unique(rows * BUCKETS + ids)
-    return np.split((both % BUCKETS).astype(np.int32), np.searchsorted(both, np.arange(1, len(column)) * BUCKETS))[: len(column)]
+    out: list[np.ndarray] = []
+    for _, part in tb.pieces(column):
+        rows, ids, _ = text_terms(part)
+        both = np.unique(rows * BUCKETS + ids)
+        out += np.split((both % BUCKETS).astype(np.int32), np.searchsorted(both, np.arange(1, len(part)) * BUCKETS))
+    return out
 
 
 def term_ids(text: str | None) -> np.ndarray:
@@ -80,10 +83,14 @@ class Matcher:
 
     def match(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of every text's terms, one after another, the text of each, and the words of every text."""
-        rows, ids, words = text_terms(column)
-        own = self.place[ids]
-        both = np.unique(rows[own >= 0] * self.n + own[own >= 0])
-        return both % self.n, both // self.n, words
+        found, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for first, part in tb.pieces(column):
+            rows, ids, words = text_terms(part)
+            own = self.place[ids]
+            found.append(np.unique((rows[own >= 0] + first) * self.n + own[own >= 0]))
+            counts.append(words)
+        both = np.concatenate(found)
+        return both % self.n, both // self.n, np.concatenate(counts)
 
 
 def labelled_terms(documents: DataFrame, labels: DataFrame, label: str, rows: int, classes: int, keep: int) -> pd.DataFrame:

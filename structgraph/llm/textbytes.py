@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+#: Texts are worked on in pieces of so many bytes, or one text.
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -39,6 +41,16 @@ def _one(row: pa.Array) -> pa.Array:
         return pc.ascii_lower(row)
 
 
+def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of whole texts and the place of their first."""
+    i, last = 0, len(column)
+    sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    while i < last:
+        j = min(last, max(i + 1, int(np.searchsorted(sizes, sizes[i] + PIECE, "right")) - 1))
+        yield i, column.slice(i, j - i)
+        i = j
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: none) and where each begins, and the last ends."""
     if isinstance(column, pa.ChunkedArray):
