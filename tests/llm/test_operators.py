@@ -118,7 +118,8 @@ def test_secret_patterns_match_brute_force(spark):
 
 
 def battery(x):
-    body = x.rstrip("=").translate(str.maketrans("-_", "+/"))
+    body = x.rstrip("=")
+    body = body.replace("-", "") if re.fullmatch("[A-Za-z0-9-]+", body) else body.translate(str.maketrans("-_", "+/"))
     kinds = ((r"[0-9a-f]+|[0-9A-F]+", 0), (r"[A-Z2-7]+", 1), (r"[a-z0-9]+|[A-Z0-9]+", 2), (".*", 3))
     e = next(i for p, i in kinds if re.fullmatch(p, body))
     _, a, d = secrets.ENCODINGS[e]
@@ -232,6 +233,14 @@ def test_documents_that_are_no_copies_stay(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(3, a), (5, b), (None, c), (None, d)]))
 
 
+def test_repeated_rows_and_extra_columns_of_copies(spark):
+    a, b = prose(70, 200), prose(71, 200)
+    df = docs(spark, [a, a, b, b, None], [1, 2, 7, 7, None]).selectExpr("*", "doc_id * 10 AS row_key", "'x' AS fp", "4 AS root")
+    kept = simhash.keep_one(spark, df.union(df), "")
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["row_key"], r["fp"], r["root"]) for r in kept.collect()))) == sorted(map(str, [(1, 10, "x", 4), (7, 70, "x", 4), (None, None, "x", 4)]))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600), (600, 600)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
@@ -275,6 +284,45 @@ def test_decontamination_edges(spark, tmp_path):
     assert decontaminate.overlaps(df.union(df), bench).count() == 2
 
 
+def test_overlaps_of_repetitive_and_short_items(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(6)]
+    items = ["a " * 30, "a b " * 20, " ".join(rng.choice(vocab) for _ in range(40)), " ".join(rng.choice(vocab) for _ in range(9)), " ".join(rng.choice(vocab) for _ in range(5)), "É_1 über 日本 ß x2 y"]
+    texts = ["a " * 400, "b a " * 300, *(" ".join(rng.choice(vocab) for _ in range(rng.randrange(60))) for _ in range(60)), "so: É_1, ÜBER 日本 ß... X2 y!", *items]
+    bench = spark.createDataFrame([(k // 2, x) for k, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.overlaps(docs(spark, texts).selectExpr("*", "1 AS item", "2 AS row"), bench).collect()
+    want = Counter()
+    for d, t in enumerate(texts):
+        a = re.findall(r"\w+", t.lower())
+        for k, x in enumerate(items):
+            b = re.findall(r"\w+", x.lower())
+            n = min(len(b), decontaminate.WINDOW)
+            best = max(((sum(p == q for p, q in zip(a[i : i + n], b[j : j + n])), -i) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1)), default=(0, 0))
+            if best[0] >= math.ceil(0.8 * n - 1e-9):
+                want[d, k // 2, -best[1], -best[1] + n, best[0] / n] += 1
+    assert Counter((r["doc_id"], r["item_id"], r["first_token"], r["end_token"], r["similarity"]) for r in found) == want
+
+
+def test_text_kernels_match_plain_python():
+    import pyarrow as pa
+
+    from structgraph.llm import textbytes
+
+    texts = [None, "", " \t\n", "one", "a  b\x0bc\x1cd", "É日本 ß", prose(3, 4000), "x" * 3_000_000 + " y", "end"]
+    column = pa.array(["dropped", *texts]).slice(1)
+    data, at = textbytes.text_bytes(column)
+    starts, ends = textbytes.words(data, at)
+    own = textbytes.owners(starts, at)
+    for k, t in enumerate(texts):
+        assert [bytes(data[a:b]).decode() for a, b in zip(starts[own == k], ends[own == k])] == re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    by_word, by_hash = {}, {}
+    for part in textbytes.blocks(starts, ends):
+        hashes = textbytes.Hashes(data, int(starts[part][0]), int(ends[part][-1])).of(starts[part], ends[part])
+        for a, b, h in zip(starts[part], ends[part], hashes.tolist()):
+            assert by_word.setdefault(bytes(data[a:b]), h) == h and by_hash.setdefault(h, bytes(data[a:b])) == bytes(data[a:b])
+    assert textbytes.lowered(pa.array(["ÀB", None])).to_pylist() == ["àb", None]
+
+
 # --- toxicity and mixing -------------------------------------------------
 
 
@@ -301,8 +349,10 @@ def test_toxicity_held_out_accuracy_and_edges(spark, tmp_path):
         assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
         if i is not None and i < 400:
             assert r["predicted"] == (i % 5 == 0)
-    clash = df.selectExpr("*", "1 AS toxicity")
-    assert toxicity.keep_clean(spark, clash, path).columns == clash.columns
+    clash = df.selectExpr("*", "7 AS toxicity", "8 AS toxicity_", "9 AS toxicity_before")
+    kept = toxicity.keep_clean(spark, clash.union(clash), path)
+    assert kept.columns == clash.columns and {(r["toxicity"], r["toxicity_"], r["toxicity_before"]) for r in kept.collect()} == {(7, 8, 9)}
+    assert kept.count() == 2 * sum(not r["predicted"] for r in got)
     empty = put(tmp_path / "none", documents=df.limit(0), labels=labels(spark))
     assert toxicity.op9_toxicity(spark, empty).count() == 0
     bare = put(tmp_path / "bare", documents=df, labels=labels(spark))
@@ -329,8 +379,18 @@ def test_mixing_meets_targets(spark, tmp_path):
     loss = lambda x: ((((x * t) @ p - want) ** 2) / there).sum()
     assert loss(mixing._rates(p, steps)) <= loss(r) * 1.02 + 1e-6
     assert mixing.op2_mixing(spark, path).count() == len(texts)
-    out = mixing.mix(spark, df.selectExpr("*", "1 AS rate", "2 AS n_tokens"), path)
-    assert out.count() == len(texts) and out.columns[:5] == df.columns
+    out = mixing.mix(spark, df.selectExpr("*", "1 AS rate", "2 AS n_tokens", "3 AS p_good"), path)
+    assert out.columns == [*df.columns, "rate", "n_tokens", "p_good", "n_tokens_", "p_good_", "p_poor", "p_toxic", "rate_"]
+    own = out.collect()
+    assert len(own) == len(texts) and {(r["rate"], r["n_tokens"], r["p_good"]) for r in own} == {(1, 2, 3)}
+    # the query's own result: no document's rate could move to fit better
+    whole = mixing.op2_mixing(spark, path).collect()
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in whole])
+    t, rate = np.array([float(r["n_tokens"]) for r in whole]), np.array([r["rate"] for r in whole])
+    assert [r["n_tokens"] for r in sorted(whole, key=lambda r: r["doc_id"])] == [len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for x in texts]
+    slope = p @ (((rate * t) @ p - np.array(mixing.TARGETS) * t.sum()) / (t @ p))
+    assert rate.min() >= 0 and np.abs(slope[rate > 0]).max() < 1e-5 and slope.min() > -1e-5
+    assert sorted((r["doc_id"], round(r["rate_"], 6)) for r in own) == sorted((r["doc_id"], round(r["rate"], 6)) for r in whole)
     empty = put(tmp_path / "none", documents=df.limit(0), labels=labels(spark))
     assert mixing.op2_mixing(spark, empty).count() == 0
 
@@ -380,6 +440,13 @@ def test_licences(spark):
     assert [r["license"] for r in license.lookup(docs(spark, ["same words", "x y"]), many).orderBy("doc_id").collect()] == ["A", None]
 
 
+def test_licences_in_comments(spark):
+    lines = ["Copyright (c) 2020 A. Person", "", *license._MIT.split("\n")]
+    texts = ["/*\n" + "\n".join(" * " + x for x in lines) + "\n */", "\n".join("# " + x for x in lines), "// (c) 2001 x\n// Copyright Jane Doe\n" + license._MIT, "* copyright notice\n" + license._MIT]
+    df = docs(spark, texts).selectExpr("*", "1 AS digest", "2 AS license", "3 AS _loose")
+    assert [r["license"] for r in license.lookup(df.drop("_loose"), license.known_texts(spark), license.registered_digests(spark)).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", None]
+
+
 def test_licences_with_named_copyright_lines_and_long_texts(spark):
     apache = "/usr/share/common-licenses/Apache-2.0"
     texts = ["Copyright Jane Doe 2020\n\n" + license._MIT, "MIT License\n\nCopyright: The Foo Authors\n" + license._MIT, "Copyright Jane Doe 2020\n\nno licence", "Copyright notice\n" + license._MIT]
@@ -413,6 +480,88 @@ def test_quotes(spark):
     assert quotes.link_conversations(df.limit(0)).count() == 0
 
 
+def quote_oracle(rows):
+    """Parent, thread, quotes and links of every message, message by message."""
+    norm = lambda t: " ".join(t.lower().split())
+
+    def split(text):
+        out, at, run = [], 0, []
+        for line in [*(text or "").split("\n"), ""]:
+            m = re.match(r"(?:[ \t]?>)+", line)
+            level, rest = (m[0].count(">"), line[m.end() :]) if m else (0, line)
+            if (level != at or not rest.strip()) and run:
+                out.append((at, run))
+                run = []
+            at = level
+            if rest.strip():
+                run = [*run, rest]
+        return out
+
+    said, quoted = {}, {}
+    for c, t, _, x in rows:
+        if c is None or t is None:
+            continue
+        for level, run in split(x):
+            whole = norm(" ".join(run))
+            if level:
+                quoted.setdefault((c, t), set()).add((level, whole))
+            else:
+                for part in [" ".join(run), *run, *re.split(r"(?<=[.!?])\s+", " ".join(run))]:
+                    if norm(part):
+                        said.setdefault(norm(part), set()).add((c, t))
+    turns = {}
+    for c, t, *_ in rows:
+        if c is not None and t is not None:
+            turns.setdefault(c, set()).add(t)
+    parent, linked, quotes_of = {}, {}, {}
+    for c, own in turns.items():
+        for t in own:
+            links = []
+            for level, whole in quoted.get((c, t), ()):
+                here = min((k for d, k in said.get(whole, ()) if d == c), default=None)
+                elsewhere = min(((d, k) for d, k in said.get(whole, ()) if d != c), default=None)
+                links.append((level, (c, here) if here is not None and here < t else elsewhere))
+            quotes_of[c, t], linked[c, t] = len(links), sum(x is not None for _, x in links)
+            inside = [(-level, x[1]) for level, x in links if x and x[0] == c]
+            parent[c, t] = (max(inside)[1] if inside else max((k for k in own if k < t), default=None), bool(inside))
+    thread = {}
+    for c, t in parent:
+        at = t
+        while parent[c, at][1]:
+            at = parent[c, at][0]
+        thread[c, t] = at
+    return {k: (parent[k][0], thread[k], quotes_of[k], linked[k]) for k in parent}
+
+
+def test_quotes_match_brute_force(spark):
+    rng = random.Random(8)
+    lines = [f"{w} is here." for w in WORDS[:12]] + ["yes", "How so? Because of that.", "one\ntwo words", "a long line " * 3]
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(rng.randrange(1, 14)):
+            text = []
+            for _ in range(rng.randrange(1, 4)):
+                pick = rng.choice(said or lines) if rng.random() < 0.5 else rng.choice(lines)
+                if rng.random() < 0.45:
+                    mark = rng.choice(["> ", ">> ", " > > "])
+                    text.append("\n".join(mark + x for x in pick.upper().split("\n")))
+                else:
+                    text.append(pick)
+                    said.append(pick)
+            rows.append((c, t * 3, "r", rng.choice(["\n", "\n\n"]).join(text)))
+    # said by conversation 90 only after the quote, and by 95 as well
+    rows += [(90, 1, "u", "> rare words here"), (90, 2, "u", "rare words here"), (95, 7, "u", "Rare words  here"), (90, 2, "u", "rare words here")]
+    rows += [(90, 300, "u", "x" * 50_000), (90, 301, "u", "> " + "x" * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = quote_oracle(rows)
+    got = quotes.link_conversations(df).collect()
+    assert len(got) == len(rows) and sum(w[3] for w in want.values()) > 20
+    for r in got:
+        k = (r["conv_id"], r["turn"])
+        assert (r["parent_turn"], r["thread_turn"], r["n_quoted"], r["n_linked"]) == want[k], k
+    assert want[90, 1][2:] == (1, 1) and want[90, 301][0] == 300
+
 def test_thread_roots_of_long_chains(spark):
     links = spark.createDataFrame([(1, i, i - 1) for i in range(1, 200)], "conv_id long, turn long, parent long")
     assert {r["root"] for r in quotes.thread_roots(links).collect()} == {0}
@@ -426,7 +575,7 @@ PAGES = [(3, "http://a/", "same"), (1, "http://b/\r\nX: y", "same"), (2, None, N
 @pytest.mark.parametrize("compress", [False, True])
 def test_archives_round_trip(spark, tmp_path, compress):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    warc.write_archives(df, f"{tmp_path}/w", compress, 3)
+    warc.write_archives(df, f"{tmp_path}/w", compress, 600)
     got = warc.read_archives(spark, f"{tmp_path}/w").collect()
     assert {r["kind"] for r in got} == {"record"}
     want = []
@@ -461,6 +610,59 @@ def test_salvage(compress):
     assert list(warc.salvage(b"")) == [] and [k for k, *_ in warc.salvage(b"\x1f\x8b\x08WARC/1.1\r\nno")] == ["gap"]
 
 
+def test_archives_are_clean_and_bounded(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " + "é" * i) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    for compress, suffix in ((True, ".warc.gz"), (False, ".warc")):
+        path = f"{tmp_path}/{suffix}"
+        warc.write_archives(pages, path, compress, 9_000, suffix)
+        names = [n for n in os.listdir(path) if n.startswith("part-")]
+        assert len(names) > 4 and all(n.endswith(suffix) for n in names)
+        for n in names:
+            raw = open(f"{path}/{n}", "rb").read()
+            plain = gzip.decompress(raw) if compress else raw
+            assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(warc.END) and len(raw) < 20_000
+        hurt = max(names, key=lambda n: os.path.getsize(f"{path}/{n}"))
+        raw = bytearray(open(f"{path}/{hurt}", "rb").read())
+        raw[len(raw) // 2 : len(raw) // 2 + 40] = b"\0" * 40
+        open(f"{path}/{hurt}", "wb").write(raw)
+        for crc in [n for n in os.listdir(path) if n.endswith(".crc")]:
+            os.remove(f"{path}/{crc}")
+        found = warc.read_archives(spark, path)
+        got = found.where("kind = 'record'").count()
+        gaps = [(r["start"], r["stop"]) for r in warc.gap_log(found).collect()]
+        assert 296 <= got < 300 and gaps and all(a <= len(raw) // 2 + 40 and b >= len(raw) // 2 for a, b in gaps)
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def record(extra, block=b"HTTP/1.1 200 OK\r\n\r\nhello"):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\n" + extra + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    hexed = b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"hello").hexdigest().encode() + b"\r\n"
+    bad = b"WARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\n"
+    os.makedirs(f"{tmp_path}/o")
+    with open(f"{tmp_path}/o/x.warc.gz", "wb") as f:
+        f.write(gzip.compress(record(b"") + record(hexed) + record(b"WARC-Payload-Digest: blake3:zz\r\n")) + gzip.compress(record(bad)) + gzip.compress(record(b"")))
+    got = warc.read_archives(spark, f"{tmp_path}/o", "*.warc.gz").collect()
+    assert [r["kind"] for r in got] == ["record", "record", "record", "gap", "record"]
+    assert {bytes(r["payload"]) for r in got if r["kind"] == "record"} == {b"hello"} and got[0]["payload_digest"] == base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+
+
+def test_reading_members_takes_linear_time():
+    import time
+
+    one = warc.member(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        assert sum(k == "record" for k, *_ in warc.salvage(one * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_running_totals(spark):
     from structgraph.llm.common import running_totals
 
