@@ -5,8 +5,12 @@ The text is plain SQL, so that other engines can build the same graph.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 
+from structgraph.session import shared_dir
+
 K = 1_000_000_000_000
 NODES = f"""
 SELECT cast(101 * {K} + r_regionkey AS BIGINT) AS id, 101 AS kind, r_name AS name, r_name AS qname, cast(NULL AS BIGINT) AS parent_id, 2 AS confidence FROM {{region}}
@@ -52,6 +56,35 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EDGES, **_tables(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Sizes and times of the tables' folders: another text after they change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        out.append(f"{t}:{fs.getContentSummary(path).getLength()}:{fs.getFileStatus(path).getModificationTime()}")
+    return ",".join(out)
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as Parquet in the shared folder, made once a session for the tables as they are.
+
+    Nodes go by id and edges by source, so a search for one reads few row groups.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    root = _STORED.get(key)
+    if root is None:
+        root = f"{shared_dir(spark)}/star-{key[0]}-{crc32(repr(key).encode()):08x}"
+        fk_nodes(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{root}/nodes")
+        fk_edges(spark, sf_dir).repartitionByRange("src").sortWithinPartitions("src").write.mode("overwrite").parquet(f"{root}/edges")
+        _STORED[key] = root
+    return spark.read.parquet(f"{root}/nodes"), spark.read.parquet(f"{root}/edges")
+
+
 def with_graph(sql: str, recursive: bool = False) -> str:
     """``sql`` over the graph, for an engine where the tables are views."""
     named = {t: t for t in TABLES}

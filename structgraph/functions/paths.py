@@ -92,11 +92,14 @@ def endpoint_path(qname: Column) -> Column:
 
 
 def preview(text: Column, longest: int = 120) -> Column:
-    line = F.substring_index(text, "\n", 1)
-    return F.when(F.length(line) > longest, F.concat(F.substr(line, F.lit(1), F.lit(longest)), F.lit("…"))).otherwise(line)
+    """The first line, ``…`` behind it where more lines or characters follow."""
+    line = F.regexp_replace(F.substring_index(text, "\n", 1), r"\r$", "")
+    more = text.contains("\n") | (F.length(line) > longest)
+    return F.concat(F.substr(line, F.lit(1), F.lit(longest)), F.when(more, F.lit("…")).otherwise(F.lit("")))
 
 
 def compact_position(json: Column) -> Column:
-    """``file:a-b`` of a position (``file:a`` where both are equal)."""
+    """``file:a-b`` of a position (``file:a`` where it ends on its first line); what is missing is empty or 0."""
     f, a, b = (F.get_json_object(json, f"$.{x}") for x in ("file", "start_line", "end_line"))
-    return F.when(a == b, F.concat_ws(":", f, a)).otherwise(F.concat(f, F.lit(":"), a, F.lit("-"), b))
+    a, b = (F.coalesce(x.try_cast("long"), F.lit(0)) for x in (a, b))
+    return F.concat(F.coalesce(f, F.lit("")), F.lit(":"), a.cast("string"), F.when(b > a, F.concat(F.lit("-"), b.cast("string"))).otherwise(F.lit("")))

@@ -28,8 +28,8 @@ def test_edges(nodes: DataFrame, targets: int = TARGETS) -> DataFrame:
     """From a test module to modules with its name without the affix: of those with the longest common
     package the first ``targets`` (by ord, then id).
 
-    Candidates are ranked and cut per test in two aggregations over bounded
-    arrays, so a name that thousands of modules share isn't sorted in one task.
+    The join is by name; a window ranks what each test met, so a task sorts
+    the modules that share one test's name.
     """
     own = nodes.where(F.col("kind") == KIND["module"]).select("id", "qname", "ord", F.element_at(F.split("qname", "::"), -1).alias("tail"))
     tests = own.where(P.is_test(F.col("qname"))).withColumn("name", P.strip_test_affix(F.col("tail"))).where("name <> '' and name <> tail")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structgraph.registries import CONFIDENCE, EDGE_CATEGORIES, NODE_KINDS
@@ -58,10 +58,49 @@ def spread(df: DataFrame, column: str) -> DataFrame:
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:
-    """``key``, ``n`` and ``percent`` of the total."""
+    """``key``, ``n`` and ``percent`` of the total (one window over the groups, which are few)."""
+    from pyspark.sql.window import Window as W
+
     own = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
-    return own.select(key, "n", F.round(F.col("n") * 100.0 / total, 4).alias("percent"))
+    return own.select(key, "n", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))), 4).alias("percent"))
+
+
+def of_kind(nodes: DataFrame, kind: int) -> DataFrame:
+    """One row, ``n``: how many nodes of a kind."""
+    return nodes.where(F.col("kind") == kind).agg(F.count("*").alias("n"))
+
+
+def shared_names(df: DataFrame, name: str, repo: str, least: int = 2) -> DataFrame:
+    """``name`` and ``repos`` of the names that ``least`` repositories or more have."""
+    return df.groupBy(F.col(name).alias("name")).agg(F.countDistinct(repo).alias("repos")).where(F.col("repos") >= least)
+
+
+def first_per_group(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group by ``order``, for display."""
+    from pyspark.sql.window import Window as W
+
+    k = F.row_number().over(W.partitionBy(group).orderBy(order))
+    return df.withColumn("_k", k).where(F.col("_k") <= most).drop("_k")
+
+
+def sweep(spark: SparkSession, path: str) -> DataFrame:
+    """Build results, one JSON row each: ``repo_spec, ok, elapsed_s, size_mb, node_count, edge_count, cross_edge_count``."""
+    return spark.read.schema("repo_spec string, ok boolean, elapsed_s double, size_mb double, node_count long, edge_count long, cross_edge_count long").json(path)
+
+
+def slowest(rows: DataFrame, seconds: float = 30.0, most: int = 30) -> DataFrame:
+    """Results that took longer than ``seconds``, slowest first."""
+    return rows.where(F.col("elapsed_s") > seconds).orderBy(F.desc("elapsed_s"), "repo_spec").limit(most)
+
+
+def near_empty(rows: DataFrame, nodes: int = 100) -> DataFrame:
+    """Good results with fewer than ``nodes`` nodes, fewest first."""
+    return rows.where(F.col("ok") & (F.col("node_count") < nodes)).orderBy("node_count", "repo_spec")
+
+
+def most_crossed(rows: DataFrame, most: int = 30) -> DataFrame:
+    """Results with cross edges, most first."""
+    return rows.where("cross_edge_count > 0").orderBy(F.desc("cross_edge_count"), "repo_spec").limit(most)
 
 
 def pivot_kinds(df: DataFrame, row: str, kinds: list) -> DataFrame:

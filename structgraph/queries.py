@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from structgraph.extract import facts as X
 from structgraph.extract import patterns as XP
-from structgraph.fkgraph import K, fk_edges, fk_nodes, with_graph
+from structgraph.fkgraph import K, stored_graph, with_graph
 from structgraph.functions import paths as P
 from structgraph.operators import post, rank, resolve, stack, traverse
 from structgraph.plans import stats
@@ -37,7 +37,7 @@ def graph(name: str, sql: str | None, recursive: bool = False):
     """A query of (nodes, edges) of the star schema's graph."""
 
     def keep(f: Callable[[DataFrame, DataFrame], DataFrame]):
-        query(name, with_graph(sql, recursive) if sql else None)(lambda spark, d: f(fk_nodes(spark, d), fk_edges(spark, d)))
+        query(name, with_graph(sql, recursive) if sql else None)(lambda spark, d: f(*stored_graph(spark, d)))
         return f
 
     return keep
@@ -63,7 +63,7 @@ def _(n, e):
 
 @graph("a2_count_of_kind", "SELECT count(*) AS n FROM nodes WHERE kind = 105")
 def _(n, e):
-    return n.where("kind = 105").agg(F.count("*").alias("n"))
+    return stats.of_kind(n, 105)
 
 
 @graph("a3_by_kind", "SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
@@ -96,12 +96,12 @@ _W = "CASE category WHEN 4 THEN 5.0 WHEN 9 THEN 4.0 WHEN 15 THEN 4.0 WHEN 5 THEN
 
 @graph("a7_weighted_out", f"SELECT src AS id, cast(sum({_W}) AS DOUBLE) AS w FROM edges GROUP BY src")
 def _(n, e):
-    return e.groupBy(F.col("src").alias("id")).agg(F.sum(rank.weight(rank.ActivationConfig())).alias("w"))
+    return rank.weighted_out(e)
 
 
 @graph("a8_dangling", "SELECT count(*) AS n FROM nodes WHERE id NOT IN (SELECT src FROM edges)")
 def _(n, e):
-    return n.join(e, n["id"] == e["src"], "left_anti").agg(F.count("*").alias("n"))
+    return rank.dangling(n, e).agg(F.count("*").alias("n"))
 
 
 @query("a15_spread", "SELECT min(value) AS min, median(value) AS median, list_sort(list(value))[cast(floor(count(*) * 9 / 10) AS BIGINT) + 1] AS p90, max(value) AS max, count(value) AS n FROM events WHERE value IS NOT NULL")
@@ -121,7 +121,7 @@ def _(n, e):
 
 @query("a18_shared_names", "SELECT p_brand AS name, count(DISTINCT p_type) AS repos FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) >= 2")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("name")).agg(F.countDistinct("p_type").alias("repos")).where("repos >= 2")
+    return stats.shared_names(spark.read.parquet(f"{d}/part.parquet"), "p_brand", "p_type")
 
 
 @graph("o1_top_k", "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 20")
@@ -136,9 +136,7 @@ def _(n, e):
 
 @graph("o3_per_group", "SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY id) AS k FROM nodes) WHERE k <= 15")
 def _(n, e):
-    from pyspark.sql.window import Window as W
-
-    return n.withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("id"))).where("k <= 15").select("kind", "id")
+    return stats.first_per_group(n, "kind", "id", 15).select("kind", "id")
 
 
 @graph("u1_union", "SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM edges WHERE category = 2")
@@ -198,10 +196,18 @@ def _(n, e):
     return traverse.distances(e, C + 1, 3)
 
 
-@query("t5_path")
-def _(spark, d):
-    found = traverse.shortest_path(fk_edges(spark, d), C + 1, 104 * K + 1) or []
-    return spark.createDataFrame(list(enumerate(found)), "step int, id long")
+_LEVELS = 8  # the star schema's graph is no deeper
+_PATH = f", b(x, y) AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT cast({C + 1} AS BIGINT) AS id, cast(NULL AS BIGINT) AS before, 0 AS depth)"
+for _i in range(_LEVELS):
+    _seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(_i + 1))
+    _PATH += f", l{_i + 1} AS (SELECT b.y AS id, min(b.x) AS before, {_i + 1} AS depth FROM l{_i} l JOIN b ON b.x = l.id WHERE b.y NOT IN ({_seen}) GROUP BY b.y)"
+_PATH += ", v AS (" + " UNION ALL ".join(f"SELECT * FROM l{j}" for j in range(_LEVELS + 1)) + f"), p(id, before, depth) AS (SELECT * FROM v WHERE id = {104 * K + 1} UNION ALL SELECT v.* FROM p JOIN v ON v.id = p.before) SELECT depth AS step, id FROM p"
+
+
+@graph("t5_path", _PATH, True)
+def _(n, e):
+    found = traverse.shortest_path(e, C + 1, 104 * K + 1) or []
+    return n.sparkSession.createDataFrame(list(enumerate(found)), "step int, id long")
 
 
 @graph("q4_flows", _reach_sql(101 * K, "dst", "src", 2) + "SELECT lower(replace(n.name, ' ', '_')) AS key, r.id, min(r.depth) AS depth FROM r JOIN nodes n ON n.id = " + str(R) + f" WHERE r.id <> {R} GROUP BY ALL", True)
@@ -226,9 +232,18 @@ def _(n, e):
     return scores.select("id", F.round("score", 6).alias("score"))
 
 
-@graph("t8_activate", None)
+def _activate_sql(seeds: tuple[int, int], rounds: int) -> str:
+    start = f"(SELECT unnest([{seeds[0]}, {seeds[1]}])::BIGINT AS id)"
+    out = f", w AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, {_W} AS w FROM edges UNION ALL SELECT dst, src, {_W} FROM edges) GROUP BY ALL), m AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w), v0 AS (SELECT id, 0.5::DOUBLE AS s FROM {start} t)"
+    for i in range(rounds):
+        out += f", v{i + 1} AS (SELECT id, sum(s) AS s FROM (SELECT m.dst AS id, 0.5::DOUBLE * v.s * m.p AS s FROM v{i} v JOIN m ON m.src = v.id UNION ALL SELECT id, 0.25::DOUBLE FROM {start} t) GROUP BY id)"
+    degree = "(SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
+    return out + f" SELECT v.id, round(s / (1 + n), 6) AS score FROM v{rounds} v JOIN {degree} d ON d.id = v.id ORDER BY s / (1 + n) DESC, v.id LIMIT 20"
+
+
+@graph("t8_activate", _activate_sql((C + 1, 105 * K + 1), 8))
 def _(n, e):
-    return rank.ppr(n, e, [C + 1, 105 * K + 1], rank.ActivationConfig(top_k=20, direction="undirected", specificity="idf"))[0].withColumn("score", F.round("score", 6))
+    return rank.ppr(n, e, [C + 1, 105 * K + 1], rank.ActivationConfig(top_k=20, direction="undirected", specificity="idf"), rounds=8)[0].withColumn("score", F.round("score", 6))
 
 
 @graph("t7_weights", f"SELECT category, {_W}::DOUBLE AS w FROM (SELECT DISTINCT category FROM edges)")
@@ -432,7 +447,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", P.normalise_http_path(F.regexp_replace("url", "^[a-z]+://[^/]*", "")).alias("path"))
 
 
-@query("d7_preview", "SELECT doc_id, CASE WHEN length(string_split(text, chr(10))[1]) > 120 THEN substr(string_split(text, chr(10))[1], 1, 120) || '…' ELSE string_split(text, chr(10))[1] END AS line FROM documents")
+@query("d7_preview", "SELECT doc_id, substr(rtrim(string_split(text, chr(10))[1], chr(13)), 1, 120) || CASE WHEN contains(text, chr(10)) OR length(string_split(text, chr(10))[1]) > 120 THEN '…' ELSE '' END AS line FROM documents")
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", P.preview(F.col("text")).alias("line"))
 

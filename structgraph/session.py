@@ -4,13 +4,36 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Sides of a join with more rows than this are shuffled, never broadcast.
+BROADCAST_ROWS = 200_000
 
-def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without the setting; there a
+    temporary folder is made and set.
+    """
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='structgraph-')}"
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='structgraph-')}")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of which ``rows`` rows were counted, for the side of a join: broadcast if that is few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

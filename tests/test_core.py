@@ -1,6 +1,8 @@
 """Fixture trees and tables: expected facts, negatives, round trips, invariants."""
 
+import json
 import os
+import shutil
 
 import numpy as np
 import pytest
@@ -113,18 +115,84 @@ def test_store_round_trip_and_corruption(spark, graph, tmp_path):
     left, hit = store.remove_cell(up, new.select("node_id", "cell_type"))
     assert hit and left.where(F.col("node_id") == node).where("cell_type in (3, 12)").count() == 0
     assert not store.remove_cell(cells, spark.createDataFrame([(5, 5)], "node_id long, cell_type int"))[1]
-    store.replace_partition(g.nodes.limit(3), f"{path}/nodes")
+    g.nodes.limit(3).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_key").parquet(f"{path}/nodes")
     with pytest.raises(ValueError):
         store.read(spark, path)
     assert store.nodes_json(g.nodes).first()["value"].startswith('{"id":')
 
 
+def _rows(spark, *rows):
+    return spark.createDataFrame(rows, "graph_key string, id long, n int")
+
+
+def test_store_integrity(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    table = _rows(spark, ("a", 1, 2), ("a", 1, 2), ("b", 3, 4))
+    store.write({"nodes": table}, path)
+    assert store.read(spark, path)["nodes"].count() == 3 and store.verify(spark, path).isEmpty()
+    hashes = lambda *rows: store.fingerprint(_rows(spark, *rows)).first()["content_hash"]
+    assert hashes(("a", 1, 2), ("a", 1, 2)) != hashes(("a", 99, 2), ("a", 99, 2)) and hashes(("a", 1, 2), ("a", 3, 4)) == hashes(("a", 3, 4), ("a", 1, 2))
+    shutil.move(f"{path}/nodes/graph_key=b", f"{tmp_path}/b")
+    with pytest.raises(ValueError, match="partition b"):
+        store.read(spark, path)
+    shutil.move(f"{tmp_path}/b", f"{path}/nodes/graph_key=b")
+    # a partition derived from the store itself, replaced: the rest stays, the store verifies
+    back = store.read(spark, path)["nodes"]
+    store.replace_partitions(back.where("graph_key = 'b'").select("graph_key", "id", (F.col("n") + 1).alias("n")), path, "nodes")
+    assert {(r["graph_key"], r["id"], r["n"]) for r in store.read(spark, path)["nodes"].collect()} == {("a", 1, 2), ("b", 3, 5)}
+    assert [r["n"] for r in store.node(spark, path, 3).collect()] == [5] and store.node(spark, path, 4).isEmpty()
+    # a crash after the old store was moved aside
+    shutil.move(path, f"{path}.old")
+    assert store.read(spark, path)["nodes"].count() == 3 and not os.path.exists(f"{path}.old")
+    store.write({"nodes": table.limit(1)}, path)
+    assert store.read(spark, path)["nodes"].count() == 1 and not os.path.exists(f"{path}.old")
+
+
 def test_dense_text(graph):
     g = graph[1]
     text = [r["line"] for r in textproj.dense_text(g.nodes, g.edges, g.cells).collect()]
-    assert text[0] == "[LEGEND]" and "[TOPOLOGY]" in text
-    assert any(" * > " in x and "api/users" in x for x in text) and any(x.startswith("  position  shop/people.py:") for x in text)
-    assert textproj.alias("a::bc", set()) == "ab" and textproj.alias("a::bc", {"ab"}) == "abc" and textproj.alias("a::bc", {"ab", "abc"}) == "abc2"
+    assert text[0] == "[LEGEND]" and "[TOPOLOGY]" in text and "[shop::util::slug]" in text
+    assert any(" * > " in x and "api/users" in x for x in text) and any(x.startswith(":position   shop/people.py:") for x in text)
+    assert ":files      help.go, make.go, server.go" in text or any(x.startswith(":files      ") and x.count(".go") == 3 for x in text)
+    assert textproj.alias("a::bc", set()) == "AB" and textproj.alias("a::bc", {"AB"}) == "ABc" and textproj.alias("a::bc", {"AB", "ABc"}) == "AB2"
+    assert textproj.alias("server", set()) == "Se" and textproj.alias("s", set()) == "Sx"
+
+
+def test_dense_text_line_by_line(spark):
+    kinds = {1: (1, "m::alpha::beta"), 2: (3, "m::alpha::beta::f"), 3: (3, "m::alpha::beta::g"), 4: (3, "m::alpha::beta::h"), 5: (5, "route:/x"), 6: (99, "odd")}
+    n = spark.createDataFrame([(i, k, q, 1 if i == 5 else 2) for i, (k, q) in kinds.items()], "id long, kind int, qname string, confidence int")
+    e = spark.createDataFrame([(5, 2, 9), (2, 3, 4), (2, 3, 4), (3, 255, 10), (77, 2, 4), (2, 4, 1)], "src long, dst long, category int")
+    c = spark.createDataFrame([(2, 1, "fn f() {\n}", None, 0), (2, 3, '{"file": "a/b.rs", "start_line": 3, "end_line": 9}', None, 1), (3, 3, '{"file":"b.rs","start_line":7,"end_line":7}', None, 0), (4, 14, None, bytearray(5), 0), (4, 2, "x" * 130, None, 1), (1, 1, "x", None, 0), (1, 1, "y", None, 1), (1, 3, '{"file":"q/a.rs"}', None, 2), (1, 3, '{"file":"b.rs"}', None, 3), (1, 2, "doc", None, 4)], "node_id long, cell_type int, text string, bytes binary, ord int")
+    got = [r["line"] for r in textproj.dense_text(n, e, c).collect()]
+    assert got == [
+        "[LEGEND]", "> depends    * entry point    @ external", "", "[SCOPES]", "MAB = m::alpha::beta", "", "[DEFAULTS]", ":confidence strong", "", "[TOPOLOGY]",
+        "MAB::f > MAB::g", "MAB::g > @unresolved#ff", "route:/x * > MAB::f", "",
+        "[MAB]", ":kind       Module", ":files      a.rs, b.rs", ":doc        doc", "",
+        "[MAB::f]", ":kind       Function", ":code       fn f() {…", ":position   a/b.rs:3-9", "",
+        "[MAB::g]", ":kind       Function", ":position   b.rs:7", "",
+        "[MAB::h]", ":kind       Function", ":vector     <5 bytes>", ":doc        " + "x" * 120 + "…", "",
+        "[odd]", ":kind       Node", "", "[route:/x] *", ":kind       Route", ":confidence medium", "",
+    ]
+
+
+def test_chains_and_paths_have_no_bound(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(13)] + [(50, 51), (51, 50)], "id long, parent_id long")
+    got = {(r["id"], r["ancestor"], r["distance"]) for r in traverse.parent_chain(n).collect()}
+    assert {x for x in got if x[0] < 50} == {(i, j, i - j) for i in range(13) for j in range(i)}
+    assert {x for x in got if x[0] >= 50} == {(50, 51, 1), (50, 50, 2), (51, 50, 1), (51, 51, 2)}
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(70)] + [(70, 0, 1)], "src long, dst long, category int").unionByName(spark.createDataFrame([(100 + i, 101 + i, 1) for i in range(70)], "src long, dst long, category int"))
+    assert traverse.shortest_path(e, 100, 170) == list(range(100, 171)) and traverse.shortest_path(e, 0, 69) == [0, 70, 69]
+    assert traverse.shortest_path(e, 0, 170) is None
+
+
+def test_sweep_lists(spark, tmp_path):
+    rows = [{"repo_spec": f"r{i}", "ok": i != 3, "elapsed_s": 10.0 * i, "size_mb": 1.0, "node_count": 40 * i, "edge_count": i, "cross_edge_count": i % 3} for i in range(6)]
+    with open(f"{tmp_path}/s.jsonl", "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in rows)
+    df = stats.sweep(spark, f"{tmp_path}/s.jsonl")
+    assert [r["repo_spec"] for r in stats.slowest(df).collect()] == ["r5", "r4"]
+    assert [r["repo_spec"] for r in stats.near_empty(df).collect()] == ["r0", "r1", "r2"]
+    assert [r["repo_spec"] for r in stats.most_crossed(df).collect()] == ["r2", "r5", "r1", "r4"]
 
 
 def test_tools(spark, graph):
