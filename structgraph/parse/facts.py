@@ -39,10 +39,15 @@ class Facts:
     def call(self, src: str, form: str, base: str | None, name: str) -> None:
         self.add("call", src=src, q_form=form, base=base, name=name)
 
-    def route(self, method: str, path: str, handler: str | None, confidence: int, line: int) -> None:
-        qname = f"route:{path}"
-        self.add("node", kind=KIND["route"], name=path, qname=qname, parent=self.module, confidence=confidence)
-        self.add("cell", qname=qname, cell_type=5, text=json.dumps({"method": method, "handler": handler, "file": self.path, "line": line}))
+    def route(self, method: str, path: str, handler: str | None, confidence: int, line: int, by_path: bool = False) -> None:
+        """A node per verb and path with the verb as its cell, or (``by_path``) one per path with a cell of each verb."""
+        if by_path:
+            qname, parent = f"route:{path}", self.module
+            cell = json.dumps({"method": method, "handler": handler, "file": self.path, "line": line})
+        else:
+            qname, parent, cell = f"{method} {path}", None, method
+        self.add("node", kind=KIND["route"], name=path if by_path else qname, qname=qname, parent=parent, confidence=confidence)
+        self.add("cell", qname=qname, cell_type=5, text=cell)
         if handler:
             self.add("edge", src=qname, dst=handler, category=9, confidence=confidence)
 

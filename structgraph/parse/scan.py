@@ -8,11 +8,12 @@ routes look.  Scopes are found on text whose strings and comments are blank.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from structgraph.parse.facts import Facts
 
-_NOT_CALLS = frozenset("if for while switch catch return function new await typeof sizeof match fn func def class when unless elif else do with and or not in is super this self defmodule defp end".split())
+_NOT_CALLS = frozenset("if for while switch catch return function new await typeof sizeof match fn func def class when unless elif else do with and or not in is super this self defmodule defp end async import".split())
 
 
 @dataclass
@@ -28,13 +29,15 @@ class Language:
     own: tuple[str, ...] = ("this", "self")
     nesting: str = "braces"
     calls: bool = True
+    #: how calls look: name and bracket, the same behind a base only, or the head of a list
+    call_form: str = "bracket"
     separator: str = "."
     only_routes_in: str = ""
     verbs: dict[str, str] = field(default_factory=dict)
 
 
 _C_CLASS = (("class", r"\b(?:class|record)\s+(?P<n>[A-Z_]\w*)"), ("interface", r"\binterface\s+(?P<n>\w+)"), ("enum", r"\benum\s+(?:class\s+)?(?P<n>\w+)"))
-_TYPED_FN = r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|inline|const|constexpr|open|suspend|sealed|synchronized)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?:*&]+(?:[ \t]*[*&]+[ \t]*|[ \t]+)(?P<n>\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*|noexcept\s*|override\s*|throws\s+[\w., ]+)*\{"
+_TYPED_FN = r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|inline|const|constexpr|open|suspend|sealed|synchronized)\s+)*(?!return\b|new\b|else\b|throw\b|fun\b)[\w<>\[\],.?:*&]+(?:[ \t]*[*&]+[ \t]*|[ \t]+)(?P<n>\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*|noexcept\s*|override\s*|throws\s+[\w., ]+)*\{"
 _MAP = r"""(?m)\.(?P<v>get|post|put|patch|delete|head|options)\(\s*["'](?P<p>/[^"']*)["']"""
 LANGUAGES: dict[str, Language] = {
     "go": Language(
@@ -78,7 +81,7 @@ LANGUAGES: dict[str, Language] = {
         imports=(("module", r"(?m)^\s*import\s+(?P<m>\w+)"),), routes=((r"""\.(?P<v>get|post|put|patch|delete)\((?P<p>(?:\s*"[^"]*"\s*,?)+)""", 1),),
     ),
     "c_cpp": Language(
-        declares=(("package", r"\bnamespace\s+(?P<n>\w+)"), ("class", r"\b(?:class|struct)\s+(?P<n>\w+)\s*(?:final\s*)?(?::[^{;]*)?\{"), ("enum", r"\benum\s+(?:class\s+)?(?P<n>\w+)"), ("function", _TYPED_FN)),
+        declares=(("package", r"\bnamespace\s+(?P<n>\w+)"), ("class", r"(?<!enum )\b(?:class|struct)\s+(?P<n>\w+)\s*(?:final\s*)?(?::[^{;]*)?\{"), ("enum", r"\benum\s+(?:class\s+)?(?P<n>\w+)"), ("function", _TYPED_FN)),
         imports=(("module", r"""(?m)^\s*#\s*include\s+"(?P<m>[^"]+)\""""),), separator="/",
     ),
     "scala": Language(
@@ -88,19 +91,19 @@ LANGUAGES: dict[str, Language] = {
     "clojure": Language(
         declares=(("function", r"\((?:defn-?|def|defmacro)\s+(?:\^\S+\s+)?(?P<n>[\w*+!?<>=-]+)"), ("interface", r"\(defprotocol\s+(?P<n>\w+)"), ("struct", r"\(def(?:record|type)\s+(?P<n>\w+)")),
         imports=(("module", r"\[(?P<m>[\w.-]+\.[\w.-]+)(?:\s+:as\s+(?P<a>[\w-]+))?"),), routes=((r"""\((?P<v>GET|POST|PUT|PATCH|DELETE|ANY)\s+"(?P<p>[^"]*)\"""", 1), (r"""\[\s*"(?P<p>/[^"]*)"\s*\{\s*:(?P<v>get|post|put|patch|delete)""", 1)),
-        comment=r";[^\n]*", nesting="parens", calls=False,
+        comment=r";[^\n]*", nesting="parens", call_form="list",
     ),
     "dart": Language(
         declares=(*_C_CLASS, ("function", _TYPED_FN)), imports=(("module", r"""(?m)^\s*import\s+['"](?P<m>[^'"]+)['"](?:\s+as\s+(?P<a>\w+))?"""),),
-        routes=((r"""\bGoRoute\(\s*path:\s*['"](?P<p>[^'"]*)['"]""", 1), (_MAP, 1)), separator="/",
+        call_form="selector", routes=((r"""\bGoRoute\(\s*path:\s*['"](?P<p>[^'"]*)['"]""", 1), (_MAP, 1)), separator="/",
     ),
     "elixir": Language(
         declares=(("package", r"\bdefmodule\s+(?P<n>[\w.]+)"), ("interface", r"\bdefprotocol\s+(?P<n>[\w.]+)"), ("function", r"(?m)^\s*defp?\s+(?P<n>\w+[?!]?)"), ("struct", r"(?m)^\s*(?P<n>defstruct)\b")),
         imports=(("module", r"(?m)^\s*(?:import|alias|use|require)\s+(?P<m>[\w.]+)(?:,\s*as:\s*(?P<a>\w+))?"),),
-        routes=((r"""(?m)^\s*(?P<v>get|post|put|patch|delete|resources)\s+"(?P<p>/[^"]*)\"""", 2),), comment=r"#[^\n]*", nesting="end",
+        comment=r"#[^\n]*", nesting="end",
     ),
     "solidity": Language(
-        declares=(("class", r"\bcontract\s+(?P<n>\w+)"), ("interface", r"\binterface\s+(?P<n>\w+)"), ("package", r"\blibrary\s+(?P<n>\w+)"), ("enum", r"\benum\s+(?P<n>\w+)"), ("struct", r"\bstruct\s+(?P<n>\w+)"), ("function", r"\b(?:function|event)\s+(?P<n>\w+)")),
+        declares=(("class", r"\bcontract\s+(?P<n>\w+)"), ("interface", r"\binterface\s+(?P<n>\w+)"), ("package", r"\blibrary\s+(?P<n>\w+)"), ("enum", r"\benum\s+(?P<n>\w+)"), ("struct", r"\bstruct\s+(?P<n>\w+)"), ("function", r"\bfunction\s+(?P<n>\w+)"), ("event", r"\bevent\s+(?P<n>\w+)")),
         imports=(("module", r"""(?m)^\s*import\s+(?:\{[^}]*\}\s*from\s+)?["'](?P<m>[^"']+)["']"""),), separator="/",
     ),
     "terraform": Language(
@@ -154,6 +157,14 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
         for m in re.finditer(pattern, code):
             if m["n"] not in _NOT_CALLS or kind in ("package", "impl"):
                 found.append([m.start(), _end(code, m.start() if rules.nesting == "parens" else m.end() - (m[0].endswith("{")), rules.nesting), kind, m])
+    begins = sorted(x[0] for x in found)
+    for x in found:
+        if rules.nesting == "braces":
+            # another declaration before the brace: this one has no body
+            later = bisect_right(begins, x[3].end())
+            opener = code.find("{", x[3].end() - (x[3][0].endswith("{")))
+            if later < len(begins) and begins[later] < opener and x[1] > begins[later]:
+                x[1] = x[3].end()
     found.sort(key=lambda x: (x[0], -x[1]))
     scopes: list[tuple[int, int, str, str]] = []
     types: dict[str, str] = {}
@@ -172,6 +183,8 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
         if kind == "receiver":
             parent = types.get(m["t"], module)
             kind, qname = "method", f"{parent}::{name}"
+        elif kind == "event":
+            kind = "function"
         elif kind in ("function", "member"):
             if kind == "member" and inside != "class":
                 continue
@@ -188,11 +201,15 @@ def parse(path: str, source: str, module: str, lang: str) -> Facts:
         if kind in ("function", "method"):
             owners.append((at, end, qname, m.groupdict().get("r") or ""))
     _imports(out, rules, text)
-    if rules.calls:
+    if rules.call_form == "list":
+        _list_calls(out, code, owners)
+    elif rules.calls:
         _calls(out, rules, code, module, owners, [x[3].start("n") for x in found])
     _routes(out, rules, text, code, path, lang, line, sorted(places), owners)
     if lang == "go":
         _go_routes(out, text, line)
+    if lang == "elixir":
+        _phoenix_routes(out, text, line)
     if lang in ("typescript", "react", "angular", "vue"):
         _endpoints(out, text, module, owners, line)
     return out
@@ -220,6 +237,26 @@ def _owner(owners: list[tuple[int, int, str, str]], at: int, module: str) -> tup
     return (best[2], best[3]) if best else (module, "")
 
 
+#: Heads of lists that are no calls.
+_FORMS = frozenset("def defn defn- defmacro let if when do fn loop cond case ns require defprotocol defrecord deftype".split())
+
+
+def _list_calls(out: Facts, code: str, owners: list[tuple[int, int, str, str]]) -> None:
+    """Heads of lists inside functions: ``a/b`` is an attribute, ``.m`` a method of its own."""
+    for m in re.finditer(r"\(\s*(?P<n>[^\s()\[\]{}\"';`~@^#,:][^\s()\[\]{}\"';`~@^,]*)", code):
+        src = _owner(owners, m.start(), "")[0]
+        head = m["n"]
+        if not src or head in _FORMS or head[0].isdigit():
+            continue
+        base, slash, name = head.partition("/")
+        if slash and base and name:
+            out.call(src, "attribute", base, name)
+        elif head.startswith(".") and len(head) > 1:
+            out.call(src, "self", None, head[1:])
+        else:
+            out.call(src, "bare", None, head)
+
+
 def _calls(out: Facts, rules: Language, code: str, module: str, owners: list[tuple[int, int, str, str]], declared: list[int]) -> None:
     names = set(declared)
     pattern = re.compile(r"(?:(?P<b>\$?\w+|[)\]])\s*(?:\.|->|::|\?\.)\s*)?(?P<n>[A-Za-z_]\w*[?!]?)\s*\(")
@@ -228,12 +265,17 @@ def _calls(out: Facts, rules: Language, code: str, module: str, owners: list[tup
             continue
         src, receiver = _owner(owners, m.start(), module)
         base = m["b"]
+        before = code[max(0, m.start() - 80) : m.start()].rstrip()
         if base is None:
-            before = code[: m.start()].rstrip()[-1:]
-            out.call(src, "complex" if before == "." else "bare", None, m["n"])
+            if before.endswith("@") or re.search(r"#\[$|^[ \t]*\[$", before.rsplit("\n", 1)[-1]):  # an annotation
+                continue
+            if before.endswith("."):
+                out.call(src, "complex", None, m["n"])
+            elif rules.call_form != "selector":
+                out.call(src, "bare", None, m["n"])
         elif base in rules.own or (receiver and base == receiver):
             out.call(src, "self", None, m["n"])
-        elif base in ")]":
+        elif base in ")]" or before.endswith((".", "->")):
             out.call(src, "complex", base, m["n"])
         else:
             out.call(src, "attribute", base, m["n"])
@@ -285,8 +327,8 @@ def _routes(out: Facts, rules: Language, text: str, code: str, path: str, lang:
                 end = _args_end(code, m)
                 at, name = next((x for x in places if x[0] >= end), (len(code), None))
                 handler = name if not re.search(r"[{};]", flat[end:at]) else None
-            if (lang == "php" and verb in _REST) or (lang == "elixir" and verb == "resources"):
-                many = ("GET", "POST", "PUT", "PATCH", "DELETE")
+            if lang == "php" and verb in _REST:
+                many = _REST[verb]
             elif verb == "route":
                 said = code[m.end() : _args_end(code, m)]
                 many = tuple(v.upper() for v in ("get", "post", "put", "patch", "delete", "head", "options") if re.search(rf"(?<!\w){v}\(", said))
@@ -307,16 +349,41 @@ def _routes(out: Facts, rules: Language, text: str, code: str, path: str, lang:
                 out.route(v, route, handler, confidence, line(m.start()))
 
 
+def _phoenix_routes(out: Facts, text: str, line) -> None:
+    """Verbs below ``scope`` blocks, whose paths add up; every ``end`` closes a scope, if one is open."""
+    scopes: list[str] = []
+    seen: set[tuple[str, str]] = set()
+    word = re.compile(r"""(?<![\w.:])(?:(?P<s>scope)\b(?P<r>[^\n]*?)(?= do\b)|(?P<e>end)\b|(?P<v>get|post|put|patch|delete|head|options|resources)\b[^\n"]*"(?P<p>[^"\n]*)\")""")
+    for m in word.finditer(text):
+        if m["s"]:
+            found = re.search(r'"([^"\n]*)"', m["r"])
+            scopes.append(found[1] if found else "")
+        elif m["e"]:
+            if scopes:
+                scopes.pop()
+        else:
+            parts = [x if x.startswith("/") else "/" + x for x in (*(s.rstrip("/") for s in scopes if s), m["p"]) if x or x == m["p"]]
+            route = "".join(parts)
+            for v in ("GET", "POST", "PUT", "PATCH", "DELETE") if m["v"] == "resources" else (m["v"].upper(),):
+                if (v, route) not in seen:
+                    seen.add((v, route))
+                    out.route(v, route, None, 1, line(m.start()))
+
+
+def _joined(prefix: str, path: str) -> str:
+    return "/" + "/".join(s for s in f"{prefix}/{path}".split("/") if s)
+
+
 def _go_routes(out: Facts, text: str, line) -> None:
     """Groups carry their prefix; a bare or selector handler is an unresolved reference."""
     groups: dict[str, str] = {}
     both = re.compile(r"""(?P<x>\w+)\s*:?=\s*(?P<g>\w+)\.Group\(\s*"(?P<q>[^"]*)"|(?P<r>\w+)\.(?P<v>GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|Get|Post|Put|Patch|Delete)\(\s*"(?P<p>[^"]*)"(?:\s*,\s*(?P<h>[\w.]+)\s*\))?""")
     for m in both.finditer(text):
         if m["x"]:
-            groups[m["x"]] = groups.get(m["g"], "") + m["q"].rstrip("/")
+            groups[m["x"]] = _joined(groups.get(m["g"], ""), m["q"])
             continue
-        route = "/" + "/".join(s for s in (groups.get(m["r"], "") + "/" + m["p"]).split("/") if s)
-        out.route(m["v"].upper(), route, None, 2, line(m.start()))
+        route = _joined(groups.get(m["r"], ""), m["p"])
+        out.route(m["v"].upper(), route, None, 2, line(m.start()), by_path=True)
         if m["h"]:
             base, _, name = m["h"].rpartition(".")
             out.add("ref", src=f"route:{route}", q_form="attribute" if base else "bare", base=base or None, name=name, category=9)

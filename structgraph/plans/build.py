@@ -111,7 +111,7 @@ def build(spark: SparkSession, files: DataFrame, repo: str = "repo", mode: str =
     merged = union("nodes").withColumn("repo", rid)
     cells = facts.where("tag = 'cell'").select("lang", F.col("qname").alias("a"), "cell_type", F.lit("text").alias("tag"), "text", "ord")
     cells = materialize(to(cells, "a", "node_id").select(F.col("lang").alias("graph_key"), "node_id", "cell_type", "tag", "text", F.lit(None).cast("binary").alias("bytes"), "ord"))
-    methods = cells.where("cell_type = 5").select("node_id", F.get_json_object("text", "$.method").alias("method"))
+    methods = cells.where("cell_type = 5").select("node_id", F.get_json_object("text", "$.method").alias("method")).where("method is not null")
     routed = extra.where("kind = 5 and qname like 'route:%'")
     cross = materialize(stack.all_links(merged, methods.unionByName(_extracted_methods(files, routed, ident))))
     merged = post.demote_unmatched(post.downgrade(merged), cross)

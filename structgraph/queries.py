@@ -467,3 +467,6 @@ def _(spark, d):
 
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
+
+
+from structgraph import queries_files as _files  # noqa: E402, F401  its queries register themselves

@@ -266,15 +266,15 @@ def test_extractors(spark):
 
 
 LANGUAGES = {
-    "A.java": ("import a.b.C;\npublic class A {\n  @GetMapping(\"/x\")\n  public String go(int k) { return help(k); }\n}\n", {"A::A", "A::A::go", "route:/x"}),
-    "a.cs": ("namespace N {\n  public class C {\n    [HttpGet(\"y\")]\n    public int Run() { return 1; }\n  }\n}\n", {"a::N", "a::N::C", "a::N::C::Run", "route:y"}),
-    "a.php": ("<?php\nuse A\\B\\C;\nclass K {\n  function f() { $this->g(); }\n}\nRoute::get('/p', x);\n", {"a::K", "a::K::f", "route:/p"}),
+    "A.java": ("import a.b.C;\npublic class A {\n  @GetMapping(\"/x\")\n  public String go(int k) { return help(k); }\n}\n", {"A::A", "A::A::go", "GET /x"}),
+    "a.cs": ("namespace N {\n  public class C {\n    [HttpGet(\"y\")]\n    public int Run() { return 1; }\n  }\n}\n", {"a::N", "a::N::C", "a::N::C::Run", "GET y"}),
+    "a.php": ("<?php\nuse A\\B\\C;\nclass K {\n  function f() { $this->g(); }\n}\nRoute::get('/p', x);\n", {"a::K", "a::K::f", "GET /p"}),
     "a.rs": ("use crate::m::f;\nstruct S;\nimpl S {\n  fn go(&self) { f(); }\n}\nfn top() {}\n", {"a::S", "a::S::go", "a::top"}),
     "a.rb": ("class K\n  def go\n    help()\n  end\nend\n", {"a::K", "a::K::go"}),
-    "a.swift": ("struct S {\n  func go() {}\n}\napp.get(\"a\", \":b\") { r in 1 }\n", {"a::S", "a::S::go", "route:/a/b"}),
+    "a.swift": ("struct S {\n  func go() {}\n}\napp.get(\"a\", \":b\") { r in 1 }\n", {"a::S", "a::S::go", "GET /a/b"}),
     "a.cpp": ("#include \"x.h\"\nnamespace n {\nclass K {\n  int go(int a) { return 1; }\n};\n}\n", {"a::n", "a::n::K", "a::n::K::go"}),
     "a.scala": ("object O {\n  def go() = { 1 }\n}\ntrait T\n", {"a::O", "a::O::go", "a::T"}),
-    "a.clj": ("(ns a (:require [b.c :as c]))\n(defn go [x] (c/f x))\n(GET \"/k\" [] 1)\n", {"a::go", "route:/k"}),
+    "a.clj": ("(ns a (:require [b.c :as c]))\n(defn go [x] (c/f x))\n(GET \"/k\" [] 1)\n", {"a::go", "GET /k"}),
     "a.dart": ("import 'x.dart';\nclass K {\n  int go(int a) { return 1; }\n}\n", {"a::K", "a::K::go"}),
     "a.ex": ("defmodule M do\n  def go(x) do\n    x\n  end\nend\n", {"a::M", "a::M::go"}),
     "a.sol": ("contract K {\n  event E(uint a);\n  function go() public { }\n}\n", {"a::K", "a::K::go", "a::K::E"}),
@@ -323,11 +323,12 @@ ROUTES = {
 def test_routes_have_all_verbs_and_handlers(spark):
     files = describe(spark.createDataFrame([(p, s) for p, (s, _) in ROUTES.items()], "path string, source string"))
     facts = build.parse_files(files)
-    cells = facts.where("tag = 'cell' AND cell_type = 5").selectExpr("path", "get_json_object(text, '$.method') AS method", "substr(qname, 7) AS route", "get_json_object(text, '$.handler') AS handler").collect()
+    # a node per verb and path, the verb as its cell, the handler as an edge
+    cells = {(r["path"], r["qname"], r["text"]) for r in facts.where("tag = 'cell' AND cell_type = 5").collect()}
     edges = {(r["path"], r["src"], r["dst"]) for r in facts.where("tag = 'edge' AND category = 9").collect()}
     for p, (_, want) in ROUTES.items():
-        assert {(r["method"], r["route"], r["handler"]) for r in cells if r["path"] == p} == want, p
-        assert {e for e in edges if e[0] == p} == {(p, f"route:{route}", h) for _, route, h in want if h}
+        assert {c for c in cells if c[0] == p} == {(p, f"{v} {route}", v) for v, route, _ in want}, p
+        assert {e for e in edges if e[0] == p} == {(p, f"{v} {route}", h) for v, route, h in want if h}
     line = describe(spark.createDataFrame([("e.ts", "app.route('/a').get('/a', f).post('/b', g);\n")], "path string, source string"))
     assert {(r["method"], r["route"]) for r in X.express_routes(line).collect()} == {("GET", "/a"), ("POST", "/b")}
 
