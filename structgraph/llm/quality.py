@@ -7,13 +7,14 @@ one of *all* documents, both smoothed by ``SMOOTHING``.  A document's score is
 its mean log ratio per n-gram, so length cancels, and it is kept if the score
 is at least ``LEAST_RATIO`` and the base rules hold.
 
-Trusted documents are those labelled quality 1; at most ``TRUSTED_ROWS`` of
-them (by a hash of doc_id) are counted, which bounds the broadcast of their
-ids.  Without trusted rows both multinomials are taken as equal (score 0).
+Trusted documents are all those labelled quality 1.  Their ids are broadcast up
+to ``BROADCAST_IDS``; beyond, documents whose id has its bit in the ids' bit
+array are joined to them by a shuffle.  Without trusted rows both multinomials
+are taken as equal (score 0).
 
 Null and empty texts have no words and fail the base rules; their score is 0.
 Repeated rows and null ids count as any row.  Main path: DataFrame and SQL
-functions only; documents are never shuffled.
+functions only.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.llm.common import SPACES, bounded_sample, let, table
+from structgraph.llm.common import SPACES, bit_array, let, may_be_in, table
 
 BUCKETS = 16_384
 SMOOTHING = 1.0
-TRUSTED_ROWS = 50_000
+BROADCAST_IDS = 500_000
 LEAST_RATIO = -0.25
 TOKENS = r"\\w+|[^\\w\\x00-\\x20]+"
 
@@ -60,18 +61,27 @@ def base_rules() -> str:
     words = f"array_remove(split(coalesce(text, ''), '{SPACES}', -1), '')"
     lines = f"filter(split(coalesce(text, ''), '\\n', -1), l -> l rlike '{visible}')"
     dup_lines = let(lines, "ls", "cast(size(ls) - size(array_distinct(ls)) as bigint)")
-    # windows by hash; equal neighbours after sorting are windows found twice or more
-    windows = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'i', i)))"
+    # windows by hash; equal neighbours after sorting are windows found twice or more; most texts have none
+    windows = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
+    placed = "sort_array(transform(hs, (h, i) -> named_struct('h', h, 'i', i)))"
     again = "filter(transform(s, (x, k) -> if((k > 0 AND s[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(s) AND s[least(k + 1, size(s) - 1)].h = x.h), x.i, -1)), i -> i >= 0)"
-    covered = let(f"sort_array({let(windows, 's', again)})", "p", "aggregate(transform(p, (i, k) -> if(k = 0, 3, least(3, i - p[k - 1]))), 0L, (t, x) -> t + x)")
+    covered = let(f"sort_array({let(placed, 's', again)})", "p", "aggregate(transform(p, (i, k) -> if(k = 0, 3, least(3, i - p[k - 1]))), 0L, (t, x) -> t + x)")
+    covered = let(windows, "hs", f"if(size(array_distinct(hs)) = size(hs), 0L, {covered})")
     return let(words, "w", f"named_struct('n_words', cast(size(w) as bigint), 'word_chars', cast(length(array_join(w, '')) as bigint), 'n_symbols', cast(size(split(coalesce(text, ''), '[#*$%&|<>]', -1)) - 1 as bigint), 'n_dup_lines', {dup_lines}, 'n_repeat_words', if(size(w) < 3, 0L, {covered}))")
 
 
-def judge(documents: DataFrame, labels: DataFrame, least: float = LEAST_RATIO, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """All columns of ``documents`` and ``rules``, ``ratio``, ``base_failed``, ``kept``."""
+def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are labelled quality 1."""
+    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    return documents.where(may_be_in(bit_array(ids, "doc_id"), "doc_id")).join(ids, "doc_id", "left_semi")
+
+
+def judge(documents: DataFrame, labels: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
+    """All columns of ``documents`` and ``rules``, ``ratio``, ``base_failed``, ``kept`` (in place of columns with these names)."""
     docs = documents.drop("rules", "ratio", "base_failed", "kept")
-    ids = bounded_sample(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "doc_id", trusted_rows)
-    table_ = ratios(docs, docs.join(F.broadcast(ids), "doc_id", "left_semi")).scalar()
+    table_ = ratios(docs, trusted(docs, labels)).scalar()
     score = let(buckets(), "b", "if(size(b) = 0, 0D, aggregate(b, 0D, (t, x) -> t + _ratios[x]) / size(b))")
     out = docs.select("*", table_.alias("_ratios")).select(*docs.columns, F.expr(base_rules()).alias("rules"), F.expr(score).alias("ratio"))
     out = out.select("*", F.expr("rules.n_words < 50 OR 100 * rules.n_repeat_words > 50 * rules.n_words").alias("base_failed"))
