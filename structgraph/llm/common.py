@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structgraph.session import materialize, shared_dir  # noqa: F401
+
 #: Words are runs of anything but ASCII white space (regular expression text).
 SPACES = r"[\\x20\\x09-\\x0D]+"
 #: Spark's own bound of 64 MB a batch is held several times over: in both
@@ -19,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session sets none (tests, local runs) a temporary folder
-    is made and set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='structgraph-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: str, name: str, body: str) -> str:
     """SQL text that binds ``name`` to ``value`` once and evaluates ``body``.
 
