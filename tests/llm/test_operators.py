@@ -94,6 +94,15 @@ def test_quality_without_labels_and_rows(spark):
     assert quality.judge(clash, labels(spark, [(0, 1, 0), (None, None, None)])).count() == 2
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_all_trusted_documents_count(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+    df = docs(spark, [prose(k) for k in range(60)], [*range(58), None, 3])
+    own = labels(spark, [(i, int(i % 3 == 0), 0) for i in range(58)] + [(0, 1, 0), (None, 1, 0)])
+    got = quality.trusted(df.union(df), own)
+    assert Counter(r["doc_id"] for r in got.collect()) == {i: 4 if i == 3 else 2 for i in range(0, 58, 3)}
+
+
 # --- secrets -------------------------------------------------------------
 
 
