@@ -46,9 +46,11 @@ def queue_producers(files: DataFrame) -> DataFrame:
     return _queues(files, X.QUEUE_PRODUCERS, "queue_producer")
 
 
-def queue_hits(files: DataFrame) -> DataFrame:
-    """Raw detections: ``path``, ``pattern``, ``framework``."""
-    return _hits(files, [{"pattern": p, "framework": f} for p, f in X.QUEUE_CONSUMERS]).select("path", "p.pattern", "p.framework")
+def raw_hits(files: DataFrame, what: str) -> DataFrame:
+    """``path``, ``pattern`` and ``framework`` (null: none) of every pattern found: ``queue_consumers``, ``queue_producers`` or ``cli_invocations``."""
+    rows = {"queue_consumers": X.QUEUE_CONSUMERS, "queue_producers": X.QUEUE_PRODUCERS, "cli_invocations": [(p, None) for p in X.CLI_INVOCATIONS]}[what]
+    hits = _hits(files, [{"pattern": p, "framework": f} for p, f in rows])
+    return hits.select("path", "p.pattern", F.col("p.framework").cast("string").alias("framework"))
 
 
 def cli_commands(files: DataFrame) -> DataFrame:

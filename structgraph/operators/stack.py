@@ -7,7 +7,7 @@ confidences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structgraph.functions import paths as P
@@ -50,7 +50,11 @@ def http_links(nodes: DataFrame, methods: DataFrame, any_matches: bool = False)
     tried = ends.select("src", "method", "ce", F.explode(F.array_compact(keys)).alias("t")).select("src", "method", "ce", "t.rank", "t.key")
     known = routes(nodes, methods)
     same = F.col("method") == F.col("m")
-    met = tried.join(known.select("dst", F.col("method").alias("m"), F.col("path").alias("key"), "confidence"), "key").where(same | F.col("m").isin("ANY", "ALL") if any_matches else same)
+    known = known.select("dst", F.col("method").alias("m"), F.col("path").alias("key"), "confidence")
+    met = tried.join(known, (tried["key"] == known["key"]) & same)
+    if any_matches:
+        met = met.unionByName(tried.join(known.where(F.col("m").isin("ANY", "ALL")), tried["key"] == known["key"]).where(~same))
+    met = met.select("src", "dst", "rank", "ce", "confidence")
     best = met.groupBy("src").agg(F.min("rank").alias("best"))
     won = met.join(best, "src").where("rank = best")
     return won.groupBy("src", "dst").agg(F.max(F.least("ce", "confidence")).alias("confidence")).select("src", "dst", F.lit(CATEGORY["http_calls"]).alias("category"), "confidence")
@@ -73,25 +77,46 @@ def cli_links(nodes: DataFrame) -> DataFrame:
     return _link(keyed(nodes, "cli_invocation", "cli_invoke:"), keyed(nodes, "cli_command", "cli:"), F.expr("k = m"), "cli_invokes")
 
 
-def _names_joined(a: DataFrame, b: DataFrame, match: str, category: str) -> DataFrame:
-    """A theta join over *distinct* names, then equi-joins back to the nodes."""
-    pairs = a.select(F.col("key").alias("k")).distinct().join(b.select(F.col("key").alias("m")).distinct(), F.expr(match))
+def _pairs_joined(a: DataFrame, b: DataFrame, pairs: DataFrame, category: str) -> DataFrame:
+    """Links of the nodes whose names are in ``pairs(k, m)``."""
     x = a.select(F.col("id").alias("src"), F.col("key").alias("k"), F.col("confidence").alias("ca"))
     y = b.select(F.col("id").alias("dst"), F.col("key").alias("m"), F.col("confidence").alias("cb"))
-    return x.join(pairs, "k").join(y, "m").select("src", "dst", F.lit(CATEGORY[category]).alias("category"), F.least("ca", "cb").alias("confidence"))
+    return x.join(pairs.distinct(), "k").join(y, "m").select("src", "dst", F.lit(CATEGORY[category]).alias("category"), F.least("ca", "cb").alias("confidence"))
+
+
+_PARTS = "array_distinct(concat(array(''), flatten(transform(sequence(1, length({0})), i -> transform(sequence(1, length({0}) - i + 1), n -> substr({0}, i, n))))))"
+_ENDS = "array_distinct(concat(array(''), transform(sequence(1, length({0})), i -> substr({0}, i))))"
+
+
+def _within(names: DataFrame, long: str, others: DataFrame, short: str, parts: str) -> DataFrame:
+    """Pairs of a name and another that is one of its parts: the parts of each name are exploded and joined on equality."""
+    own = names.select(long, F.explode(F.when(F.length(f"{long}_n") == 0, F.array(F.lit(""))).otherwise(F.expr(parts.format(f"{long}_n")))).alias("part"))
+    return own.join(others, own["part"] == others[f"{short}_n"]).select(long, short)
+
+
+def _named(nodes: DataFrame, column: str, norm: Column) -> DataFrame:
+    """Distinct names and what they are compared by."""
+    return nodes.select(F.col("key").alias(column)).distinct().withColumn(f"{column}_n", norm)
 
 
 def graphql_links(nodes: DataFrame) -> DataFrame:
     """Names that are equal or contain one another, whatever their case."""
-    match = "contains(lower(k), lower(m)) OR contains(lower(m), lower(k))"
-    return _names_joined(keyed(nodes, "graphql_operation", "graphql_op:"), keyed(nodes, "graphql_resolver", "graphql_resolver:"), match, "graphql_calls")
+    a, b = keyed(nodes, "graphql_operation", "graphql_op:"), keyed(nodes, "graphql_resolver", "graphql_resolver:")
+    x, y = _named(a, "k", F.lower("k")), _named(b, "m", F.lower("m"))
+    pairs = _within(x, "k", y, "m", _PARTS).unionByName(_within(y, "m", x, "k", _PARTS).select("k", "m"))
+    return _pairs_joined(a, b, pairs, "graphql_calls")
 
 
 def socket_links(nodes: DataFrame) -> DataFrame:
     """Paths that are equal or end with one another; ``ws`` on either side and handler ``default`` match any."""
-    a, b = "lower(trim(BOTH '/' FROM k))", "lower(trim(BOTH '/' FROM m))"
-    match = f"endswith({a}, {b}) OR endswith({b}, {a}) OR {a} = 'ws' OR {b} IN ('ws', 'default')"
-    return _names_joined(keyed(nodes, "ws_client", "ws_client:"), keyed(nodes, "ws_handler", "ws:"), match, "ws_connects")
+    a, b = keyed(nodes, "ws_client", "ws_client:"), keyed(nodes, "ws_handler", "ws:")
+    x, y = _named(a, "k", F.lower(F.btrim("k", F.lit("/")))), _named(b, "m", F.lower(F.btrim("m", F.lit("/"))))
+    pairs = _within(x, "k", y, "m", _ENDS).unionByName(_within(y, "m", x, "k", _ENDS).select("k", "m"))
+    # wild names match every name of the other side by definition
+    wild = F.lit(1).alias("any")
+    pairs = pairs.unionByName(x.where("k_n = 'ws'").select("k", wild).join(y.select("m", wild), "any").select("k", "m"))
+    pairs = pairs.unionByName(y.where("m_n IN ('ws', 'default')").select("m", wild).join(x.select("k", wild), "any").select("k", "m"))
+    return _pairs_joined(a, b, pairs, "ws_connects")
 
 
 #: What marks a name as a schema.

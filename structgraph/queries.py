@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.extract import facts as X
-from structgraph.extract import patterns as XP
 from structgraph.fkgraph import K, stored_graph, with_graph
 from structgraph.functions import paths as P
 from structgraph.operators import post, rank, resolve, stack, traverse
@@ -290,30 +288,48 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 NODES = [
     # id, kind, name, qname, parent_id, confidence, repo
-    (1, 1, "users", "app::users", None, 2, 1), (2, 1, "helpers", "app::helpers", None, 2, 1), (3, 1, "auth", "app::auth", None, 1, 2),
-    (4, 1, "test_users", "app::tests::test_users", None, 2, 1), (5, 1, "users", "lib::users", None, 2, 2), (6, 1, "sub", "app::auth::sub", None, 2, 2),
-    (11, 2, "UserModel", "app::users::UserModel", 1, 2, 1), (12, 4, "login", "app::users::UserModel::login", 11, 2, 1), (13, 4, "save", "app::users::UserModel::save", 11, 2, 1),
-    (14, 3, "slug", "app::helpers::slug", 2, 2, 1), (15, 3, "check", "app::auth::check", 3, 2, 2), (16, 2, "UserModel", "app::auth::UserModel", 3, 2, 2), (17, 3, "make", "app::users::make", 1, 2, 1),
-    (21, 5, "/api/users/:id", "route:/api/users/:id", 1, 2, 1), (22, 5, "GET /health", "GET /health", 1, 1, 1), (23, 5, "/users/{id}", "route:/users/{id}", 1, 2, 1), (24, 5, "GET nolead", "GET nolead", 1, 2, 1), (25, 5, "/any", "route:/any", 1, 2, 1), (26, 5, "/tests/x", "route:/tests/x", 4, 2, 1),
-    (31, 9, "e", "endpoint:GET:/api/users/${x}", 2, 1, 2), (32, 9, "e", "endpoint:GET:/health/", 2, 2, 2), (33, 9, "e", "endpoint:POST:/api/v1/users/:k", 2, 2, 2), (34, 9, "e", "endpoint:GET:/any", 2, 2, 2), (35, 9, "e", "endpoint:GET:/v1/none", 2, 0, 2), (36, 9, "e", "endpoint:DELETE:/api", 2, 2, 2),
-    (41, 11, "Order", "grpc:Order", 1, 2, 1), (42, 12, "Order", "grpc_client:Order.Get", 2, 1, 2), (43, 12, "Cart", "grpc_client:Cart", 2, 1, 2),
-    (51, 13, "jobs", "queue_consumer:jobs", 1, 1, 1), (52, 14, "jobs", "queue_producer:jobs", 2, 0, 2), (53, 14, "other", "queue_producer:other", 2, 1, 2),
-    (61, 15, "GetUser", "graphql_resolver:GetUser", 1, 1, 1), (62, 16, "getUserById", "graphql_op:getUserById", 2, 2, 2), (63, 16, "x", "graphql_op:posts", 2, 2, 2),
-    (71, 17, "/chat", "ws:/chat", 1, 1, 1), (72, 18, "live/chat/", "ws_client:live/chat/", 2, 2, 2), (73, 17, "default", "ws:default", 1, 0, 1), (74, 18, "/feed", "ws_client:/feed", 2, 2, 2),
-    (81, 19, "made", "event_handle:made", 1, 0, 1), (82, 20, "made", "event_emit:made", 2, 0, 2), (83, 20, "gone", "event_emit:gone", 2, 0, 2),
-    (91, 21, "tool", "cli:tool", 1, 2, 1), (92, 22, "tool", "cli_invoke:tool", 2, 1, 2),
+    (1, 1, "users{k}", "app::users{k}", None, 2, 1), (2, 1, "helpers{k}", "app::helpers{k}", None, 2, 1), (3, 1, "auth{k}", "app::auth{k}", None, 1, 2),
+    (4, 1, "test_users{k}", "app::tests::test_users{k}", None, 2, 1), (5, 1, "users{k}", "lib::users{k}", None, 2, 2), (6, 1, "sub", "app::auth{k}::sub", None, 2, 2),
+    (11, 2, "UserModel{k}", "app::users{k}::UserModel{k}", 1, 2, 1), (12, 4, "login", "app::users{k}::UserModel{k}::login", 11, 2, 1), (13, 4, "save", "app::users{k}::UserModel{k}::save", 11, 2, 1),
+    (14, 3, "slug", "app::helpers{k}::slug", 2, 2, 1), (15, 3, "check", "app::auth{k}::check", 3, 2, 2), (16, 2, "UserModel{k}", "app::auth{k}::UserModel{k}", 3, 2, 2), (17, 3, "make", "app::users{k}::make", 1, 2, 1),
+    (21, 5, "/api/users{k}/:id", "route:/api/users{k}/:id", 1, 2, 1), (22, 5, "GET /health{k}", "GET /health{k}", 1, 1, 1), (23, 5, "/users{k}/{id}", "route:/users{k}/{id}", 1, 2, 1), (24, 5, "GET nolead{k}", "GET nolead{k}", 1, 2, 1), (25, 5, "/any", "route:/any{k}", 1, 2, 1), (26, 5, "/tests/x", "route:/tests/x{k}", 4, 2, 1),
+    (31, 9, "e", "endpoint:GET:/api/users{k}/${x}", 2, 1, 2), (32, 9, "e", "endpoint:GET:/health{k}/", 2, 2, 2), (33, 9, "e", "endpoint:POST:/api/v1/users{k}/:k", 2, 2, 2), (34, 9, "e", "endpoint:GET:/any{k}", 2, 2, 2), (35, 9, "e", "endpoint:GET:/v1/none{k}", 2, 0, 2), (36, 9, "e", "endpoint:DELETE:/api{k}", 2, 2, 2),
+    (41, 11, "Order", "grpc:Order{k}", 1, 2, 1), (42, 12, "Order", "grpc_client:Order{k}.Get", 2, 1, 2), (43, 12, "Cart", "grpc_client:Cart{k}", 2, 1, 2),
+    (51, 13, "jobs", "queue_consumer:jobs{k}", 1, 1, 1), (52, 14, "jobs", "queue_producer:jobs{k}", 2, 0, 2), (53, 14, "other", "queue_producer:other{k}", 2, 1, 2),
+    (61, 15, "GetUser", "graphql_resolver:GetUser{k}x", 1, 1, 1), (62, 16, "getUserById", "graphql_op:getUser{k}xById", 2, 2, 2), (63, 16, "x", "graphql_op:posts{k}", 2, 2, 2),
+    (71, 17, "/chat", "ws:/chat{k}", 1, 1, 1), (72, 18, "live/chat/", "ws_client:live/chat{k}/", 2, 2, 2), (73, 17, "default", "ws:default", 1, 0, 1), (74, 18, "/feed", "ws_client:/feed{k}", 2, 2, 2),
+    (81, 19, "made", "event_handle:made{k}", 1, 0, 1), (82, 20, "made", "event_emit:made{k}", 2, 0, 2), (83, 20, "gone", "event_emit:gone{k}", 2, 0, 2),
+    (91, 21, "tool", "cli:tool{k}", 1, 2, 1), (92, 22, "tool", "cli_invoke:tool{k}", 2, 1, 2),
 ]
 METHODS = [(21, "GET"), (21, "put"), (23, "POST"), (25, "ANY"), (26, "GET")]
-_N = _values(NODES, "id, kind, name, qname, parent_id, confidence, repo")
-_M = _values(METHODS, "node_id, method")
+#: Each row stands once for each supplier: keys have its number in place of ``{k}``, ids are apart by it.
+_STEP = 1000
 
 
-def _nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NODES, "id long, kind int, name string, qname string, parent_id long, confidence int, repo long").withColumn("ord", F.col("id"))
+def _scaled_sql(rows: list[tuple], columns: str, ids: tuple[str, ...], texts: tuple[str, ...]) -> str:
+    out = [f"{c} + {_STEP} * s_suppkey AS {c}" if c in ids else f"replace({c}, '{{k}}', s_suppkey::VARCHAR) AS {c}" if c in texts else c for c in columns.split(", ")]
+    return f"(SELECT {', '.join(out)} FROM supplier, {_values(rows, columns)} v)"
 
 
-def _methods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METHODS, "node_id long, method string")
+def _scaled(spark: SparkSession, d: str, rows: list[tuple], schema: str, ids: tuple[str, ...], texts: tuple[str, ...]) -> DataFrame:
+    names = [x.split() for x in schema.split(", ")]
+    each = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for (c, t), v in zip(names, r, strict=True)]) for r in rows])
+    own = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(each).alias("t"))
+    key = F.col("s_suppkey")
+    return own.select(*[(F.col(f"t.{c}") + _STEP * key if c in ids else F.replace(f"t.{c}", F.lit("{k}"), key.cast("string")) if c in texts else F.col(f"t.{c}")).alias(c) for c, _ in names])
+
+
+_NODE_IDS, _NODE_TEXTS = ("id", "parent_id"), ("name", "qname")
+_N = _scaled_sql(NODES, "id, kind, name, qname, parent_id, confidence, repo", _NODE_IDS, _NODE_TEXTS)
+_M = _scaled_sql(METHODS, "node_id, method", ("node_id",), ())
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled(spark, d, NODES, "id long, kind int, name string, qname string, parent_id long, confidence int, repo long", _NODE_IDS, _NODE_TEXTS).withColumn("ord", F.col("id"))
+
+
+def _methods(spark: SparkSession, d: str) -> DataFrame:
+    return _scaled(spark, d, METHODS, "node_id long, method string", ("node_id",), ())
 
 
 def _equal_sql(kind_a, prefix_a, kind_b, prefix_b, category, key="a.k") -> str:
@@ -341,7 +357,7 @@ SELECT cast(src AS BIGINT) AS src, cast(dst AS BIGINT) AS dst, 10 AS category, m
 
 @query("j11_http_links", _HTTP_SQL)
 def _(spark, d):
-    return stack.http_links(_nodes(spark), _methods(spark))
+    return stack.http_links(_nodes(spark, d), _methods(spark, d))
 
 
 for _name, _f, _sql in (
@@ -353,42 +369,42 @@ for _name, _f, _sql in (
     ("j17_cli_links", stack.cli_links, _equal_sql(22, "cli_invoke:", 21, "cli:", 17)),
     ("j18_schema_links", stack.schema_links, f"WITH n AS {_N}, s AS (SELECT c.id, c.name, c.repo, m.confidence FROM n c JOIN n m ON m.id = c.parent_id AND m.kind = 1 WHERE c.kind IN (2, 7, 8) AND regexp_matches(c.qname, 'Schema|Validator|Type|Model|Entity|DTO|Input|Output|Params|Request|Response')) SELECT cast(a.id AS BIGINT) AS src, cast(b.id AS BIGINT) AS dst, 16 AS category, least(a.confidence, b.confidence) AS confidence FROM s a JOIN s b ON a.name = b.name AND a.id < b.id AND a.repo <> b.repo"),
 ):
-    query(_name, _sql)(lambda spark, d, f=_f: f(_nodes(spark)))
+    query(_name, _sql)(lambda spark, d, f=_f: f(_nodes(spark, d)))
 
 
 @query("j19_demote_unmatched", f"WITH n AS {_N}, l AS ({_HTTP_SQL}) SELECT cast(id AS BIGINT) AS id, CASE WHEN kind IN (5, 9) AND confidence > 0 AND id NOT IN (SELECT src FROM l UNION SELECT dst FROM l) THEN 1 ELSE confidence END AS confidence FROM n")
 def _(spark, d):
-    n = _nodes(spark)
-    return post.demote_unmatched(n, stack.http_links(n, _methods(spark))).select("id", "confidence")
+    n = _nodes(spark, d)
+    return post.demote_unmatched(n, stack.http_links(n, _methods(spark, d))).select("id", "confidence")
 
 
 @query("j20_tests", f"WITH n AS {_N}, m AS (SELECT id, qname, string_split(qname, '::') AS s FROM n WHERE kind = 1), t AS (SELECT id, s, regexp_replace(s[-1], '^test_', '') AS k FROM m WHERE s[-1] LIKE 'test\\_%' ESCAPE '\\'), c AS (SELECT t.id AS src, m.id AS dst, CASE WHEN t.s[1] = m.s[1] THEN 1 ELSE 0 END AS shared FROM t JOIN m ON m.s[-1] = t.k AND m.id <> t.id) SELECT cast(src AS BIGINT) AS src, cast(dst AS BIGINT) AS dst, 7 AS category, 2 AS confidence FROM (SELECT *, max(shared) OVER (PARTITION BY src) AS best, row_number() OVER (PARTITION BY src ORDER BY shared DESC, dst) AS k FROM c) WHERE shared = best AND k <= 3")
 def _(spark, d):
-    return post.test_edges(_nodes(spark))
+    return post.test_edges(_nodes(spark, d))
 
 
 IMPORTS = [
     # from_module, form, module, name, alias, level, ord
-    (1, "symbol", "helpers", "slug", None, 1, 1), (1, "module", "app.auth", None, "au", 0, 2), (3, "symbol", "app.users", "UserModel", "U", 0, 3),
-    (3, "symbol", "app.auth", "sub", None, 0, 4), (2, "module", "app.users", None, None, 0, 5), (2, "module", "not.there", None, None, 0, 6), (2, "symbol", "app.users", "missing", None, 0, 7),
+    (1, "symbol", "helpers{k}", "slug", None, 1, 1), (1, "module", "app.auth{k}", None, "au", 0, 2), (3, "symbol", "app.users{k}", "UserModel{k}", "U", 0, 3),
+    (3, "symbol", "app.auth{k}", "sub", None, 0, 4), (2, "module", "app.users{k}", None, None, 0, 5), (2, "module", "not.there", None, None, 0, 6), (2, "symbol", "app.users{k}", "missing", None, 0, 7),
 ]
 CALLS = [
     # src, q_form, base, name, ord
-    (12, "bare", None, "slug", 1), (12, "self", None, "save", 2), (12, "attribute", "au", "check", 3), (15, "attribute", "U", "login", 4), (15, "bare", None, "UserModel", 5),
+    (12, "bare", None, "slug", 1), (12, "self", None, "save", 2), (12, "attribute", "au", "check", 3), (15, "attribute", "U", "login", 4), (15, "bare", None, "UserModel{k}", 5),
     (15, "attribute", "nobody", "x", 6), (14, "complex", None, "y", 7), (17, "bare", None, "make", 8), (14, "self", None, "save", 9),
 ]
 REFS = [(21, 1, "bare", None, "make", 9, 1), (22, 1, "attribute", "au", "check", 9, 2), (23, 2, "bare", None, "none", 9, 3)]
 
 
-def _resolved(spark: SparkSession):
-    n = _nodes(spark)
-    targets = resolve.import_targets(n, spark.createDataFrame(IMPORTS, "from_module long, form string, module string, name string, alias string, level int, ord long"))
+def _resolved(spark: SparkSession, d: str):
+    n = _nodes(spark, d)
+    targets = resolve.import_targets(n, _scaled(spark, d, IMPORTS, "from_module long, form string, module string, name string, alias string, level int, ord long", ("from_module",), ("module", "name")))
     return n, targets
 
 
-_IMPORTS = _values(IMPORTS, "from_module, form, module, name, alias, level, ord")
-_CALLS = _values(CALLS, "src, q_form, base, name, ord")
-_REFS = _values(REFS, "src, from_module, q_form, base, name, category, ord")
+_IMPORTS = _scaled_sql(IMPORTS, "from_module, form, module, name, alias, level, ord", ("from_module",), ("module", "name"))
+_CALLS = _scaled_sql(CALLS, "src, q_form, base, name, ord", ("src",), ("name",))
+_REFS = _scaled_sql(REFS, "src, from_module, q_form, base, name, category, ord", ("src", "from_module"), ())
 _RES = f"""WITH RECURSIVE n AS {_N}, i AS {_IMPORTS}, c AS {_CALLS}, f AS {_REFS},
 m AS (SELECT id, qname FROM n WHERE kind = 1), sy AS (SELECT n.parent_id AS mid, n.name, max(n.id) AS id FROM n JOIN m ON m.id = n.parent_id GROUP BY ALL),
 cm AS (SELECT n.parent_id AS cid, n.name, max(n.id) AS id FROM n JOIN n p ON p.id = n.parent_id AND p.kind IN (2, 8) WHERE n.kind = 4 GROUP BY ALL),
@@ -408,28 +424,28 @@ rf AS (SELECT f.*, CASE q_form WHEN 'bare' THEN coalesce((SELECT b.id FROM b WHE
 
 @query("j1_j2_imports", _RES + "SELECT cast(from_module AS BIGINT) AS from_module, cast(target_id AS BIGINT) AS target_id, binding FROM t")
 def _(spark, d):
-    return _resolved(spark)[1].select("from_module", "target_id", "binding")
+    return _resolved(spark, d)[1].select("from_module", "target_id", "binding")
 
 
-def _calls(spark):
-    n, targets = _resolved(spark)
-    return resolve.resolve_calls(n, spark.createDataFrame(CALLS, "src long, q_form string, base string, name string, ord long"), resolve.bindings(targets))
+def _calls(spark, d):
+    n, targets = _resolved(spark, d)
+    return resolve.resolve_calls(n, _scaled(spark, d, CALLS, "src long, q_form string, base string, name string, ord long", ("src",), ("name",)), resolve.bindings(targets))
 
 
 @query("j6_j8_calls", _RES + "SELECT cast(src AS BIGINT) AS src, cast(dst AS BIGINT) AS dst FROM rc WHERE dst IS NOT NULL")
 def _(spark, d):
-    return _calls(spark)[0].select("src", "dst")
+    return _calls(spark, d)[0].select("src", "dst")
 
 
 @query("j9_unresolved", _RES + "SELECT cast(src AS BIGINT) AS src, name, cast(ord AS BIGINT) AS ord FROM rc WHERE dst IS NULL")
 def _(spark, d):
-    return _calls(spark)[1].select("src", "name", "ord")
+    return _calls(spark, d)[1].select("src", "name", "ord")
 
 
 @query("j10_refs", _RES + "SELECT cast(src AS BIGINT) AS src, cast(dst AS BIGINT) AS dst, category FROM rf WHERE dst IS NOT NULL")
 def _(spark, d):
-    n, targets = _resolved(spark)
-    refs = spark.createDataFrame(REFS, "src long, from_module long, q_form string, base string, name string, category int, ord long")
+    n, targets = _resolved(spark, d)
+    refs = _scaled(spark, d, REFS, "src long, from_module long, q_form string, base string, name string, category int, ord long", ("src", "from_module"), ())
     return resolve.resolve_refs(n, refs, resolve.bindings(targets))[0].select("src", "dst", "category")
 
 
@@ -452,15 +468,6 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", P.preview(F.col("text")).alias("line"))
 
 
-_SOURCES = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {k} AS kind, '{v}' AS name FROM documents WHERE contains(text, '{p.replace(chr(39), chr(39) * 2)}')" for i, (p, k, v) in enumerate(XP.DATA_SOURCES))
-
-
-@query("x13_data_sources", f"SELECT cast(doc_id AS VARCHAR) AS path, name, arg_min(kind, i) AS kind FROM ({_SOURCES}) GROUP BY ALL")
-def _(spark, d):
-    files = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("source"))
-    return X.data_sources(files).select("path", "name", "kind")
-
-
 @query("w3_carry_forward", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
 def _(spark, d):
     from pyspark.sql.window import Window as W

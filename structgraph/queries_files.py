@@ -108,7 +108,7 @@ def _files_query(name: str, f, sql: str) -> None:
     query(name, _F + sql)(run)
 
 
-_COLUMNS = {"x3_raw_hits": ("path", "pattern", "framework"), "s1_s2_describe": ("path", "lang", "module_qname")}
+_COLUMNS = {"s1_s2_describe": ("path", "lang", "module_qname")}
 for _n in ("x14a_express", "x14b_next", "x14c_kit", "x14d_nest"):
     _COLUMNS[_n] = ("path", "method", "route")
 _COLUMNS["x14_a13_routes"] = ("path", "name", "methods")
@@ -117,7 +117,9 @@ _COLUMNS["x11_proto_services"] = ("path", "name", "qname", "methods")
 _files_query("s1_s2_describe", lambda f: f, "SELECT path, lang, replace(regexp_replace(path, '\\.[^./]*$', ''), '/', '::') AS module_qname FROM fs")
 _files_query("x1_queue_consumers", X.queue_consumers, _fact_sql(_hits_sql(XP.QUEUE_CONSUMERS, "p, fw", f"coalesce({_lit_sql(_REST, 128)}, fw)"), "queue_consumer", "queue_consumer:", 1))
 _files_query("x2_queue_producers", X.queue_producers, _fact_sql(_hits_sql(XP.QUEUE_PRODUCERS, "p, fw", f"coalesce({_lit_sql(_REST, 128)}, fw)"), "queue_producer", "queue_producer:", 1))
-_files_query("x3_raw_hits", X.queue_hits, f"SELECT path, p AS pattern, fw AS framework FROM n JOIN {_values(list(XP.QUEUE_CONSUMERS), 'p, fw')} ON contains(source, p)")
+for _n, _p in (("queue_consumers", XP.QUEUE_CONSUMERS), ("queue_producers", XP.QUEUE_PRODUCERS), ("cli_invocations", [(p, None) for p in XP.CLI_INVOCATIONS])):
+    _COLUMNS[f"x3_raw_{_n}"] = ("path", "pattern", "framework")
+    _files_query(f"x3_raw_{_n}", lambda f, w=_n: X.raw_hits(f, w), f"SELECT path, p AS pattern, cast(fw AS VARCHAR) AS framework FROM n JOIN {_values(list(_p), 'p, fw')} ON contains(source, p)")
 _after = lambda mark: f"substr(line, strpos(line, '{mark}') + {len(mark)})"
 _CLI = f"""SELECT path, coalesce(CASE WHEN contains(line, 'cobra.Command') AND contains(line, 'Use:') THEN {_lit_sql(_after('Use:'), 64)} END, CASE WHEN starts_with(line, '@click.command(') THEN {_lit_sql(_after('@click.command('), 64)} END,
   CASE WHEN contains(line, '.command(') THEN {_lit_sql(_after('.command('), 64)} END, CASE WHEN contains(line, '#[command(name') THEN {_lit_sql("regexp_extract(line, 'name[^=]*=(.*)$', 1)", 64)} END) AS name FROM lines WHERE lang <> 'proto'"""
@@ -143,7 +145,7 @@ w AS (SELECT path, line, last_value(own IGNORE NULLS) OVER (PARTITION BY path OR
 SELECT path, name, 'grpc:' || name AS qname, count(*) FILTER (regexp_matches(line, '^rpc +[^( ]')) AS methods FROM w WHERE name IS NOT NULL GROUP BY ALL""")
 _TOKEN = "regexp_extract(substr(line, 1, strpos(line, p) - 1), '(\\w*)$', 1)"
 _files_query("x12_grpc_clients", X.grpc_clients, _fact_sql(f"SELECT path, CASE WHEN length(t) >= 2 THEN t END AS name FROM (SELECT path, regexp_replace(CASE WHEN {_TOKEN} LIKE '%Service' THEN {_TOKEN}[:-8] ELSE regexp_replace({_TOKEN}, 'Svc$', '') END, '^$', '') AS t FROM lines JOIN {_values([(p,) for p in XP.GRPC_CLIENTS], 'p')} ON contains(line, p) WHERE lang <> 'proto')", "grpc_client", "grpc_client:", 1))
-_files_query("x13_source_files", X.data_sources, f"SELECT path, arg_min(kind, i) AS kind, name, 'data_source:' || name AS qname, 1 AS confidence FROM n JOIN {_values([(i, p, k, v) for i, (p, k, v) in enumerate(XP.DATA_SOURCES)], 'i, p, kind, name')} ON contains(source, p) GROUP BY path, name")
+_files_query("x13_data_sources", X.data_sources, f"SELECT path, arg_min(kind, i) AS kind, name, 'data_source:' || name AS qname, 1 AS confidence FROM n JOIN {_values([(i, p, k, v) for i, (p, k, v) in enumerate(XP.DATA_SOURCES)], 'i, p, kind, name')} ON contains(source, p) GROUP BY path, name")
 _VERB = "\\.(get|post|put|patch|delete|options|head|all)\\(\\s*[\"''`](/[^\"''`]*)[\"''`]"
 _EXPRESS = f"SELECT DISTINCT path, upper(m) AS method, r AS route FROM (SELECT path, unnest(regexp_extract_all(line, '{_VERB}', 1)) AS m, unnest(regexp_extract_all(line, '{_VERB}', 2)) AS r FROM lines WHERE lang <> 'proto' AND NOT regexp_matches(line, 'axios|fetch\\(|http\\.|client\\.|this\\.http|request\\(')) WHERE strlen(r) <= 256"
 _EXPORT = "regexp_extract_all(source, 'export\\s+(?:async\\s+)?(?:function|const)\\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\\b', 1)"
