@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.llm.common import table
+from structgraph.llm.common import free_name, table
 
 BROADCAST_ROWS = 100_000
 #: A copyright line may begin with marks, as those of a comment.
@@ -113,17 +113,17 @@ def lookup(documents: DataFrame, known: DataFrame, registered: DataFrame | None
 
     ``registered`` are further ``license``, ``digest`` of texts without lines of ``NAMED``.
     """
-    own = documents.drop("digest", "license").select("*", F.sha2(canonical(), 256).alias("digest"))
-    loose = F.when(F.lower("text").rlike(NAMED), F.sha2(canonical(named=False), 256))
-    own = own.select("*", F.coalesce(loose, "digest").alias("_loose"))
+    docs = documents.drop("digest", "license")
+    loose, second = (free_name(c, [*docs.columns, "digest", "license"]) for c in ("loose_digest", "loose_license"))
+    own = docs.select("*", F.sha2(canonical(), 256).alias("digest"))
+    own = own.withColumn(loose, F.coalesce(F.when(F.lower("text").rlike(NAMED), F.sha2(canonical(named=False), 256)), F.col("digest")))
     every = digests(known).unionByName(digests(known, named=False))
     every = every if registered is None else every.unionByName(registered.select("digest", "license"))
     table_ = every.groupBy("digest").agg(F.min("license").alias("license"))
     small = table_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     table_ = F.broadcast(table_) if small else table_
-    second = table_.withColumnsRenamed({"digest": "_loose", "license": "_license"})
-    found = own.join(table_, "digest", "left").join(second, "_loose", "left")
-    return found.select(*[c for c in own.columns if c != "_loose"], F.coalesce("license", "_license").alias("license"))
+    found = own.join(table_, "digest", "left").join(table_.withColumnsRenamed({"digest": loose, "license": second}), loose, "left")
+    return found.select(*docs.columns, "digest", F.coalesce("license", second).alias("license"))
 
 
 def _values(spark: SparkSession, rows: tuple[tuple[str, str], ...], columns: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structgraph.llm.common import SPACES, bit_array, let, may_be_in, table
+from structgraph.llm.common import SPACES, bit_array, free_name, let, may_be_in, table
 
 BUCKETS = 16_384
 SMOOTHING = 1.0
@@ -82,8 +82,9 @@ def judge(documents: DataFrame, labels: DataFrame, least: float = LEAST_RATIO) -
     """All columns of ``documents`` and ``rules``, ``ratio``, ``base_failed``, ``kept`` (in place of columns with these names)."""
     docs = documents.drop("rules", "ratio", "base_failed", "kept")
     table_ = ratios(docs, trusted(docs, labels)).scalar()
-    score = let(buckets(), "b", "if(size(b) = 0, 0D, aggregate(b, 0D, (t, x) -> t + _ratios[x]) / size(b))")
-    out = docs.select("*", table_.alias("_ratios")).select(*docs.columns, F.expr(base_rules()).alias("rules"), F.expr(score).alias("ratio"))
+    own = free_name("own_ratios", docs.columns)
+    score = let(buckets(), "b", f"if(size(b) = 0, 0D, aggregate(b, 0D, (t, x) -> t + `{own}`[x]) / size(b))")
+    out = docs.select("*", table_.alias(own)).select(*docs.columns, F.expr(base_rules()).alias("rules"), F.expr(score).alias("ratio"))
     out = out.select("*", F.expr("rules.n_words < 50 OR 100 * rules.n_repeat_words > 50 * rules.n_words").alias("base_failed"))
     return out.select("*", (~F.col("base_failed") & (F.col("ratio") >= least)).alias("kept"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from structgraph.llm.common import let, running_totals, table
+from structgraph.llm.common import free_name, let, running_totals, table
 
 #: The base patterns, in the order that breaks ties.
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -155,21 +155,21 @@ def discovery_bins(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     return found.agg(F.array(*[F.coalesce(x, F.lit(BINS + 1)) for x in pick]).alias("bins"))
 
 
-def scan(documents: DataFrame, fdr: float = FDR) -> DataFrame:
-    """All columns of ``documents`` and ``base``, ``found``: the spans of the patterns, and all.
+def scan(documents: DataFrame, fdr: float = FDR, names: tuple[str, str] = ("base", "found")) -> DataFrame:
+    """All columns of ``documents`` and ``names``: the spans of the patterns, and all.
 
     A span is a struct of start, ord, kind, stop (code points, end exclusive).
     Both arrays go by start, then kind.  Columns with these names before are
-    replaced.
+    replaced; others stay whatever their names.
     """
-    docs = documents.drop("base", "found")
+    docs = documents.drop(*names)
     bins = discovery_bins(docs, fdr).scalar()
-    base = F.expr(base_spans())
-    own = docs.select("*", base.alias("_base"), F.expr(run_spans()).alias("_runs"), bins.alias("_bins"))
+    own_base, own_runs, own_bins, random = (free_name(c, [*docs.columns, *names]) for c in ("own_base", "own_runs", "own_bins", "random_spans"))
+    own = docs.select("*", F.expr(base_spans()).alias(own_base), F.expr(run_spans()).alias(own_runs), bins.alias(own_bins))
     slim = "named_struct('start', s.start, 'ord', s.ord, 'kind', s.kind, 'stop', s.stop)"
-    random = let("_bins", "least", "filter(_runs, s -> s.passed AND s.bin >= least[s.stratum])")
-    out = own.select(*docs.columns, F.expr(f"sort_array(transform(_base, s -> {slim}))").alias("base"), F.expr(f"sort_array(transform({random}, s -> {slim}))").alias("_random"))
-    return out.select(*docs.columns, "base", F.sort_array(F.concat("base", "_random")).alias("found"))
+    passed = let(f"`{own_bins}`", "least", f"filter(`{own_runs}`, s -> s.passed AND s.bin >= least[s.stratum])")
+    out = own.select(*docs.columns, F.expr(f"sort_array(transform(`{own_base}`, s -> {slim}))").alias(names[0]), F.expr(f"sort_array(transform({passed}, s -> {slim}))").alias(random))
+    return out.select(*docs.columns, names[0], F.sort_array(F.concat(names[0], random)).alias(names[1]))
 
 
 def _text(spans: str) -> str:
@@ -184,13 +184,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``documents`` with every span (overlapping ones as one) replaced by ``mark``."""
-    found = scan(documents)
+    base, spans = (free_name(c, documents.columns) for c in ("base", "found"))
+    found = scan(documents, names=(base, spans))
     # merge by the furthest end so far; spans go by start, so only the last one can grow
-    merged = """aggregate(found, named_struct('out', cast(array() as array<string>), 'at', 0L, 'start', -1L, 'stop', -1L),
+    merged = f"""aggregate(`{spans}`, named_struct('out', cast(array() as array<string>), 'at', 0L, 'start', -1L, 'stop', -1L),
         (t, s) -> CASE WHEN s.start < t.stop THEN named_struct('out', t.out, 'at', t.at, 'start', t.start, 'stop', greatest(t.stop, s.stop))
             ELSE named_struct('out', if(t.start < 0, t.out, concat(t.out, array(substring(text, cast(t.at + 1 as int), cast(t.start - t.at as int))))), 'at', greatest(t.at, t.stop), 'start', s.start, 'stop', s.stop) END,
         t -> concat(t.out, array(substring(text, cast(t.at + 1 as int), cast(t.start - t.at as int)), substring(text, cast(t.stop + 1 as int), 2147483647))))"""
-    new = F.when(F.expr("size(found) > 0"), F.array_join(F.expr(merged), mark)).otherwise(F.col("text"))
+    new = F.when(F.size(spans) > 0, F.array_join(F.expr(merged), mark)).otherwise(F.col("text"))
     return found.select(*[new.alias("text") if c == "text" else F.col(c) for c in documents.columns])
 
 

@@ -86,6 +86,15 @@ def test_quality_base_rules_and_ratio(spark):
     assert min(found[i]["ratio"] for i in range(11, 19)) > max(found[i]["ratio"] for i in range(19, 23)) + 0.3
 
 
+def test_quality_of_repeated_rows(spark):
+    df = docs(spark, [prose(1), prose(2), prose(2)], [1, 2, None])
+    got = quality.judge(df.union(df), labels(spark, [(1, 1, 0)])).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["text"]), set()).add((tuple(r["rules"]), r["ratio"], r["kept"]))
+    assert len(got) == 6 and all(len(v) == 1 for v in by.values()) and len(by) == 3
+
+
 def test_quality_without_labels_and_rows(spark):
     df = docs(spark, [prose(1), None])
     assert [r["ratio"] for r in quality.judge(df, labels(spark)).collect()] == [0, 0]
@@ -167,6 +176,14 @@ def test_secret_battery_matches_brute_force(spark):
         assert bool(said[i]) == (t["passed"] and t["bin"] >= least[t["stratum"]])
 
 
+def test_scan_with_extra_columns_and_repeated_rows(spark):
+    df = docs(spark, ["token = abcdefghijklmnop", None, "x" * 200_000 + " deadbeefdeadbeef"], [1, None, 2]).selectExpr("*", "1 AS base", "2 AS found", "3 AS own_base", "4 AS bins", "5 AS p", "6 AS stratum")
+    got = secrets.scan(df.union(df)).collect()
+    assert sorted(len(r["base"]) for r in got) == [0, 0, 1, 1, 1, 1] and {r["stratum"] for r in got} == {6}
+    out = secrets.redact_secrets(spark, df.union(df), "")
+    assert out.columns == df.columns and {(r["base"], r["found"], r["own_base"]) for r in out.collect()} == {(1, 2, 3)} and sorted(str(r["text"])[-8:] for r in out.collect()) == sorted(["[secret]", "[secret]", "None"] * 2)
+
+
 def test_redaction(spark):
     text = "é a password=abcdefabcdefabcdef99 b deadbeefdeadbeef00 c"
     df = docs(spark, [text, None, "clean"])
@@ -452,8 +469,8 @@ def test_licences(spark):
 def test_licences_in_comments(spark):
     lines = ["Copyright (c) 2020 A. Person", "", *license._MIT.split("\n")]
     texts = ["/*\n" + "\n".join(" * " + x for x in lines) + "\n */", "\n".join("# " + x for x in lines), "// (c) 2001 x\n// Copyright Jane Doe\n" + license._MIT, "* copyright notice\n" + license._MIT]
-    df = docs(spark, texts).selectExpr("*", "1 AS digest", "2 AS license", "3 AS _loose")
-    assert [r["license"] for r in license.lookup(df.drop("_loose"), license.known_texts(spark), license.registered_digests(spark)).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", None]
+    df = docs(spark, texts).selectExpr("*", "1 AS digest", "2 AS license", "3 AS loose_digest")
+    assert [r["license"] for r in license.lookup(df, license.known_texts(spark), license.registered_digests(spark)).orderBy("doc_id").collect()] == ["MIT", "MIT", "MIT", None]
 
 
 def test_licences_with_named_copyright_lines_and_long_texts(spark):
@@ -619,6 +636,13 @@ def test_salvage(compress):
     assert list(warc.salvage(b"")) == [] and [k for k, *_ in warc.salvage(b"\x1f\x8b\x08WARC/1.1\r\nno")] == ["gap"]
 
 
+def test_archives_of_pages_with_extra_columns(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS digest", "3 AS refers_to", "4 AS least", "5 AS n")
+    warc.write_archives(df.union(df), f"{tmp_path}/w", True)
+    found = warc.read_archives(spark, f"{tmp_path}/w")
+    assert found.where("kind = 'record'").count() == 2 * len(PAGES) and found.where("page_id = 1 and record_type = 'response'").count() == 4
+
+
 def test_archives_are_clean_and_bounded(spark, tmp_path):
     import gzip
 
