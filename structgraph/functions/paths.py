@@ -103,3 +103,26 @@ def compact_position(json: Column) -> Column:
     f, a, b = (F.get_json_object(json, f"$.{x}") for x in ("file", "start_line", "end_line"))
     a, b = (F.coalesce(x.try_cast("long"), F.lit(0)) for x in (a, b))
     return F.concat(F.coalesce(f, F.lit("")), F.lit(":"), a.cast("string"), F.when(b > a, F.concat(F.lit("-"), b.cast("string"))).otherwise(F.lit("")))
+
+
+# What marks a file as one of a framework.
+REACT_MARKS = ("from 'react'", 'from "react"', "from 'react-", "require('react')", "useState", "useEffect", "</>")
+ANGULAR_ENDS = (".component.ts", ".service.ts", ".module.ts", ".guard.ts", ".pipe.ts", ".directive.ts")
+ANGULAR_MARKS = ("@Component", "@Injectable", "@NgModule")
+
+
+def _any(tests: list[Column]) -> Column:
+    return F.array_contains(F.array(*tests), True)
+
+
+def is_react(source: Column) -> Column:
+    return _any([source.contains(m) for m in REACT_MARKS])
+
+
+def is_angular(path: Column, source: Column) -> Column:
+    return _any([path.endswith(e) for e in ANGULAR_ENDS] + [source.contains(m) for m in ANGULAR_MARKS])
+
+
+def line_count(source: Column) -> Column:
+    """Lines of a text; a line end at the end begins none."""
+    return F.when(source == "", 0).otherwise(F.size(F.split(F.regexp_replace(source, r"\n$", ""), "\n")))

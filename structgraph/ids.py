@@ -34,3 +34,13 @@ def unsigned(column: Column) -> Column:
     """An id as the unsigned number that other tools print."""
     wide = column.cast("decimal(20,0)")
     return F.when(column < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+
+
+def hex_hash(text: Column) -> Column:
+    """XXH64 (seed 0) of a text in 16 lower-case hex digits (null: null)."""
+
+    @F.pandas_udf("string")
+    def make(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else f"{xxhash.xxh64_intdigest(x.encode('utf-8', 'surrogatepass')):016x}")
+
+    return make(text)

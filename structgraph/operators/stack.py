@@ -7,6 +7,9 @@ confidences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +137,13 @@ def schema_links(nodes: DataFrame) -> DataFrame:
     return a.join(b, "name").where("src < dst AND ra <> rb").select("src", "dst", F.lit(CATEGORY["shares_schema"]).alias("category"), F.least("ca", "cb").alias("confidence"))
 
 
-def all_links(nodes: DataFrame, methods: DataFrame) -> DataFrame:
-    from functools import reduce
+#: Resolvers by name: functions of (nodes, methods) that give links.  More can be added.
+RESOLVERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "http": http_links,
+    **{n: (lambda nodes, _, f=f: f(nodes)) for n, f in (("grpc", grpc_links), ("queue", queue_links), ("graphql", graphql_links), ("socket", socket_links), ("event", event_links), ("schema", schema_links), ("cli", cli_links))},
+}
+
 
-    parts = [http_links(nodes, methods), *(f(nodes) for f in (grpc_links, queue_links, graphql_links, socket_links, event_links, schema_links, cli_links))]
-    return reduce(DataFrame.unionByName, parts)
+def all_links(nodes: DataFrame, methods: DataFrame, resolvers: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """What all ``resolvers`` (by default ``RESOLVERS``) link."""
+    return reduce(DataFrame.unionByName, [f(nodes, methods) for f in (RESOLVERS if resolvers is None else resolvers).values()])

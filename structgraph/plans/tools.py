@@ -70,8 +70,25 @@ def activate(nodes: DataFrame, edges: DataFrame, seeds: str, top_k: int = 20) ->
     return scores.join(nodes.select("id", "name", "qname", "kind"), "id")
 
 
-def status(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    return {"counts": stats.counts(nodes, edges), "kinds": stats.by_kind(nodes).orderBy(F.desc("n"), "kind").limit(15), "confidence": stats.by_confidence(nodes)}
+FLOWS = 20
+PREVIEW = 30
+
+
+def entry_points(nodes: DataFrame) -> DataFrame:
+    """Nodes of the kinds that a flow starts from."""
+    return nodes.where(F.col("kind").isin(*ENTRY_KINDS))
+
+
+def status(nodes: DataFrame, edges: DataFrame, cells: DataFrame | None = None, depth: int = 6) -> dict[str, DataFrame]:
+    """Counts, kinds, confidences; with ``cells`` also the first ``FLOWS`` flows and ``PREVIEW`` lines of the text."""
+    out = {"counts": stats.counts(nodes, edges), "kinds": stats.by_kind(nodes).orderBy(F.desc("n"), "kind").limit(15), "confidence": stats.by_confidence(nodes)}
+    if cells is not None:
+        from structgraph.plans import textproj
+
+        flows = traverse.flows(nodes, edges, ENTRY_KINDS, depth).select("key", F.col("source").alias("id")).distinct()
+        out["flows"] = flows.join(nodes.select("id", "kind", "confidence"), "id").orderBy("key").limit(FLOWS)
+        out["preview"] = textproj.dense_text(nodes, edges, cells).limit(PREVIEW)
+    return out
 
 
 def view(nodes: DataFrame, edges: DataFrame, node: int, depth: int = 1) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from structgraph.extract import facts as X
 from structgraph.extract import patterns as XP
 from structgraph.fkgraph import K
-from structgraph.operators import rank, resolve
+from structgraph.functions import paths as P
+from structgraph.operators import rank, resolve, traverse
 from structgraph.parsed_files import PARSED
 from structgraph.plans import build, stats, textproj, tools
-from structgraph.queries import C, R, _values, graph, query
+from structgraph.queries import _N, C, R, _nodes, _values, graph, query
 from structgraph.registries import KIND
 from structgraph.session import shared_dir
 from structgraph.sources import files as SF
@@ -417,3 +418,41 @@ def _(spark, d):
     nation, supplier = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
     found = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("n_name").alias("repo"), F.lit("a").alias("kind"))
     return stats.misses(found, nation.select(F.col("n_name").alias("repo"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("kind")))
+
+
+def _or(tests: list[str]) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_REACT = _or([f"contains(source, {_quoted(m)})" for m in P.REACT_MARKS])
+_ANGULAR_FILE = _or([f"ends_with(path, '{x}')" for x in P.ANGULAR_ENDS] + [f"contains(source, '{m}')" for m in P.ANGULAR_MARKS])
+
+
+@query("fn_sniffers", f"{_F} SELECT path, {_REACT} AS react, {_ANGULAR_FILE} AS angular, cast(len(string_split(regexp_replace(source, '\\n$', ''), chr(10))) AS INTEGER) AS n_lines FROM fs")
+def _(spark, d):
+    return _files(spark, d).select("path", P.is_react(F.col("source")).alias("react"), P.is_angular(F.col("path"), F.col("source")).alias("angular"), P.line_count(F.col("source")).alias("n_lines"))
+
+
+@query("f6_entry_kinds", f"SELECT cast(id AS BIGINT) AS id FROM {_N} n WHERE kind IN (5, 11, 13, 15, 17, 19, 21)")
+def _(spark, d):
+    return tools.entry_points(_nodes(spark, d)).select("id")
+
+
+@graph("f7_zero_weights", f", m AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, count(*) AS w FROM edges WHERE category <> 4 GROUP BY ALL)) SELECT dst AS id, round(0.5 * p, 6) AS score FROM m WHERE src = {105 * K + 1} UNION ALL SELECT {105 * K + 1}, 0.5")
+def _(n, e):
+    config = rank.ActivationConfig(weights={4: 0.0}, top_k=None)
+    return rank.ppr(n, e, [105 * K + 1], config, rounds=1)[0].select("id", F.round("score", 6).alias("score"))
+
+
+@graph("u3_a14_adjacent", f"SELECT DISTINCT id FROM (SELECT dst AS id FROM edges WHERE src = {C + 1} UNION ALL SELECT src FROM edges WHERE dst = {C + 1})")
+def _(n, e):
+    return traverse.both_ways(e, C + 1).select("id").distinct()
+
+
+@graph("a19_impact_tiers", f", r(id, depth) AS (SELECT cast({R + 1} AS BIGINT), 0 UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.id WHERE r.depth < 2) SELECT 'service' AS tier, count(DISTINCT id) AS n FROM r WHERE id <> {R + 1} HAVING count(*) > 1", True)
+def _(n, e):
+    return tools.impact(n, e, R + 1, "up", 2).groupBy("tier").agg(F.count("*").alias("n"))

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from structgraph import queries
+from structgraph import ids, queries
 from structgraph.extract import facts as X
 from structgraph.functions import paths as P
-from structgraph.operators import rank, traverse
+from structgraph.operators import rank, stack, traverse
+from structgraph.parse.facts import Facts
 from structgraph.plans import build, stats, textproj, tools
 from structgraph.registries import CATEGORY, KIND
 from structgraph.sources import store
@@ -208,6 +209,20 @@ def test_tools(spark, graph):
     assert traverse.shortest_path(e, slug, 12345) is None and traverse.shortest_path(e, slug, slug) == [slug]
     assert tools.activate(n, e, "save, check", 5).count() <= 5
     assert tools.flow(n, e, "users").count() >= 1 and set(tools.status(n, e)) == {"counts", "kinds", "confidence"}
+    whole = tools.status(n, e, graph[1].cells)
+    assert [r["line"] for r in whole["preview"].collect()][0] == "[LEGEND]" and whole["preview"].count() == 30
+    assert "route:/api/users/:id" not in {r["key"] for r in whole["flows"].collect()} and whole["flows"].count() >= 1
+
+
+def test_resolvers_and_parsers_can_be_added(spark, monkeypatch):
+    n = spark.createDataFrame([(1, 11, "A", "grpc:A", 1, None, 1, 1), (2, 12, "A", "grpc_client:A.Go", 2, None, 1, 2)], "id long, kind int, name string, qname string, confidence int, parent_id long, repo long, ord long")
+    none = spark.createDataFrame([], "node_id long, method string")
+    own = {"mine": lambda nodes, _: nodes.select("id", F.col("id").alias("dst"), F.lit(99).alias("category"), "confidence").withColumnRenamed("id", "src")}
+    assert {(r["src"], r["dst"], r["category"]) for r in stack.all_links(n, none, stack.RESOLVERS | own).collect()} == {(2, 1, 11), (1, 1, 99), (2, 2, 99)}
+    monkeypatch.setitem(build.PARSERS, "go", lambda path, source, module: Facts(path, module + "::mine", source))
+    files = describe(spark.createDataFrame([("a.go", "package a\nfunc F() {}\n")], "path string, source string"))
+    assert [r["qname"] for r in build.parse_files(files).where("tag = 'node'").collect()] == ["a::mine"]
+    assert spark.range(1).select(ids.hex_hash(F.lit("abc"))).first()[0] == "44bc2cf5ad770999"
 
 
 def test_ppr_against_numpy(spark):
