@@ -28,14 +28,19 @@ def test_edges(nodes: DataFrame, targets: int = TARGETS) -> DataFrame:
     """From a test module to modules with its name without the affix: of those with the longest common
     package the first ``targets`` (by ord, then id).
 
-    The join is by name; a window ranks what each test met, so a task sorts
-    the modules that share one test's name.
+    Modules stand under every package around them, and of each package and
+    name only the first are kept; a test looks its own packages up.  So no
+    test meets all modules of its name.
     """
     own = nodes.where(F.col("kind") == KIND["module"]).select("id", "qname", "ord", F.element_at(F.split("qname", "::"), -1).alias("tail"))
     tests = own.where(P.is_test(F.col("qname"))).withColumn("name", P.strip_test_affix(F.col("tail"))).where("name <> '' and name <> tail")
-    a = tests.select(F.col("id").alias("src"), F.col("qname").alias("test"), F.col("name").alias("tail"))
-    b = own.select(F.col("id").alias("dst"), F.col("qname").alias("target"), F.col("ord").alias("o"), "tail")
-    met = a.join(b, "tail").where("src <> dst").withColumn("shared", P.common_prefix(P.parents(F.col("test")), P.parents(F.col("target"))))
-    w = W.partitionBy("src").orderBy(F.desc("shared"), "o", "dst")
-    best = met.withColumn("k", F.row_number().over(w)).withColumn("most", F.max("shared").over(W.partitionBy("src")))
+    around = F.expr("transform(sequence(0, size(parents)), n -> slice(parents, 1, n))")
+    inside = lambda df, *columns: df.withColumn("parents", P.parents(F.col("qname"))).select(*columns, F.explode(around).alias("package"))
+    a = inside(tests, F.col("id").alias("src"), F.col("name").alias("tail"))
+    asked = own.join(tests.select(F.col("name").alias("tail")).distinct(), "tail", "left_semi")
+    b = inside(asked, F.col("id").alias("dst"), F.col("ord").alias("o"), "tail")
+    # one more, should the test be among them
+    first = b.withColumn("k", F.row_number().over(W.partitionBy("tail", "package").orderBy("o", "dst"))).where(f"k <= {targets + 1}").drop("k")
+    met = a.join(first, ["tail", "package"]).where("src <> dst").withColumn("shared", F.size("package"))
+    best = met.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("shared"), "o", "dst"))).withColumn("most", F.max("shared").over(W.partitionBy("src")))
     return best.where(f"shared = most AND k <= {targets}").select("src", "dst", F.lit(CATEGORY["tests"]).alias("category"), F.lit(2).alias("confidence"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from structgraph.functions.paths import relative_module
 from structgraph.operators.traverse import parent_chain
 from structgraph.registries import CATEGORY, KIND
+from structgraph.session import materialize
 
 METHOD_OWNERS = (KIND["class"], KIND["struct"])
 #: Kinds that extractors add; they never shadow code of the same name.
@@ -98,46 +99,61 @@ def import_edges(targets: DataFrame) -> DataFrame:
     return targets.select(F.col("from_module").alias("src"), F.col("target_id").alias("dst"), F.lit(CATEGORY["imports"]).alias("category"), F.lit(2).alias("confidence"))
 
 
-def _nearest(nodes: DataFrame, kinds: tuple[int, ...], name: str) -> DataFrame:
-    """``src`` and its nearest self-or-ancestor of some kinds."""
-    chain = parent_chain(nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
+def _nearest(nodes: DataFrame, above: DataFrame, kinds: tuple[int, ...], name: str) -> DataFrame:
+    """``src`` and its nearest self-or-ancestor of some kinds; ``above`` are the nodes' ancestors."""
+    chain = above.unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
     own = chain.join(nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     return own.groupBy(F.col("id").alias("src")).agg(F.min_by("ancestor", "distance").alias(name))
 
 
-def _resolved(nodes: DataFrame, asked: DataFrame, bound: DataFrame, owner: bool) -> DataFrame:
+def _resolved(nodes: DataFrame, asked: DataFrame, bound: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """``asked`` with ``dst``: of bare names the binding, then the module's symbol; of attributes what the
-    base is bound to; of self calls the method of the enclosing class."""
+    base is bound to; of self calls (with ``above``, the nodes' ancestors) the method of the enclosing class."""
     symbols, methods = module_symbols(nodes), class_methods(nodes)
     out = asked.join(bound.select(F.col("from_module").alias("module_id"), F.col("binding").alias("name"), F.col("target_id").alias("by_name")), ["module_id", "name"], "left")
     out = out.join(symbols.select("module_id", "name", F.col("symbol_id").alias("own")), ["module_id", "name"], "left")
     out = out.join(bound.select(F.col("from_module").alias("module_id"), F.col("binding").alias("base"), F.col("target_id").alias("holder")), ["module_id", "base"], "left")
     out = out.join(symbols.select(F.col("module_id").alias("holder"), "name", F.col("symbol_id").alias("in_module")), ["holder", "name"], "left")
     out = out.join(methods.select(F.col("class_id").alias("holder"), "name", F.col("method_id").alias("in_class")), ["holder", "name"], "left")
-    if owner:
-        out = out.join(_nearest(nodes, METHOD_OWNERS, "class_id"), "src", "left").join(methods.select("class_id", "name", F.col("method_id").alias("by_self")), ["class_id", "name"], "left")
+    if above is not None:
+        out = out.join(_nearest(nodes, above, METHOD_OWNERS, "class_id"), "src", "left").join(methods.select("class_id", "name", F.col("method_id").alias("by_self")), ["class_id", "name"], "left")
     else:
         out = out.withColumn("by_self", F.lit(None).cast("long"))
     dst = F.when(F.col("q_form") == "bare", F.coalesce("by_name", "own")).when(F.col("q_form") == "attribute", F.coalesce("in_module", "in_class")).when(F.col("q_form") == "self", F.col("by_self"))
     return out.select(*asked.columns, dst.alias("dst"))
 
 
+def _asked_calls(nodes: DataFrame, calls: DataFrame, bound: DataFrame) -> DataFrame:
+    above = parent_chain(nodes)
+    return _resolved(nodes, calls.join(_nearest(nodes, above, (KIND["module"],), "module_id"), "src", "left"), bound, above)
+
+
+def _asked_refs(nodes: DataFrame, refs: DataFrame, bound: DataFrame) -> DataFrame:
+    return _resolved(nodes, refs.withColumnRenamed("from_module", "module_id"), bound)
+
+
+def _split_calls(out: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edges = out.where("dst is not null").select("src", "dst", F.lit(CATEGORY["calls"]).alias("category"), F.lit(2).alias("confidence"))
+    return edges, out.where("dst is null").select(*calls.columns)
+
+
+def _split_refs(out: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edges = out.where("dst is not null").select("src", "dst", "category", F.lit(2).alias("confidence"))
+    return edges, out.where("dst is null").withColumnRenamed("module_id", "from_module").select(*refs.columns)
+
+
 def resolve_calls(nodes: DataFrame, calls: DataFrame, bound: DataFrame, extra_hook: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Call edges, and the calls that stay unresolved (``extra_hook`` may resolve some: src, dst, ord)."""
-    asked = calls.join(_nearest(nodes, (KIND["module"],), "module_id"), "src", "left")
-    out = _resolved(nodes, asked, bound, owner=True)
+    out = _asked_calls(nodes, calls, bound)
     if extra_hook:
         more = extra_hook(out.where("dst is null")).select("src", "ord", F.col("dst").alias("more"))
         out = out.join(more, ["src", "ord"], "left").withColumn("dst", F.coalesce("dst", "more")).drop("more")
-    edges = out.where("dst is not null").select("src", "dst", F.lit(CATEGORY["calls"]).alias("category"), F.lit(2).alias("confidence"))
-    return edges, out.where("dst is null").select(*calls.columns)
+    return _split_calls(out, calls)
 
 
 def resolve_refs(nodes: DataFrame, refs: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of each reference's own category, and the references that stay unresolved."""
-    out = _resolved(nodes, refs.withColumnRenamed("from_module", "module_id"), bound, owner=False)
-    edges = out.where("dst is not null").select("src", "dst", "category", F.lit(2).alias("confidence"))
-    return edges, out.where("dst is null").withColumnRenamed("module_id", "from_module").select(*refs.columns)
+    return _split_refs(_asked_refs(nodes, refs, bound), refs)
 
 
 def merge_nodes(facts: DataFrame) -> DataFrame:
@@ -147,11 +163,14 @@ def merge_nodes(facts: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, edges: DataFrame, imports: DataFrame, calls: DataFrame, refs: DataFrame, style: str = "python", resolve_source=None) -> dict[str, DataFrame]:
-    """``nodes``, ``edges``, ``unresolved_calls``, ``unresolved_refs`` of one language's facts."""
-    nodes = merge_nodes(nodes)
-    targets = import_targets(nodes, imports, style, resolve_source)
-    bound = bindings(targets)
-    call_edges, lost_calls = resolve_calls(nodes, calls, bound)
-    ref_edges, lost_refs = resolve_refs(nodes, refs, bound)
+    """``nodes``, ``edges``, ``unresolved_calls``, ``unresolved_refs`` of one language's facts.
+
+    What several results are made of is stored once, so no plan holds the whole resolution.
+    """
+    nodes = materialize(merge_nodes(nodes))
+    targets = materialize(import_targets(nodes, imports, style, resolve_source))
+    bound = materialize(bindings(targets))
+    call_edges, lost_calls = _split_calls(materialize(_asked_calls(nodes, calls, bound)), calls)
+    ref_edges, lost_refs = _split_refs(materialize(_asked_refs(nodes, refs, bound)), refs)
     own = edges.select("src", "dst", "category", "confidence")
     return {"nodes": nodes, "edges": reduce(DataFrame.unionByName, [own, import_edges(targets), call_edges, ref_edges]), "unresolved_calls": lost_calls, "unresolved_refs": lost_refs}

@@ -15,9 +15,11 @@ from structgraph.ids import node_ids, repo_id
 from structgraph.operators import post, resolve, stack
 from structgraph.parse import facts as schema
 from structgraph.parse import python_ast, scan
-from structgraph.session import materialize
+from structgraph.session import materialize, spread
 from structgraph.sources.files import describe, walk
 
+#: Rows of facts, and characters of the sources they are of, that go to the engine at once.
+BATCH_ROWS, BATCH_CHARS = 10_000, 4_000_000
 DOTTED = ("java", "csharp", "php", "rust", "scala", "clojure", "elixir")
 
 
@@ -45,22 +47,34 @@ def _parse(path: str, lang: str, source: str, module: str, parsers: dict[str, Ca
     return own(path, source, module) if own else scan.parse(path, source, module, lang)
 
 
+def _frames(batches: Iterator[pd.DataFrame], parsers: dict[str, Callable]) -> Iterator[pd.DataFrame]:
+    """Facts of many files a frame: making one costs far more than the few rows of a file."""
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*schema.COLUMNS, "lang"], dtype=object)
+        return out.astype({c: "Int64" for c in ("ord", "kind", "confidence", "category", "level", "cell_type")})
+
+    held: list[dict] = []
+    chars = 0
+    for x in batches:
+        for path, lang, source, module in zip(x["path"], x["lang"], x["source"], x["module_qname"], strict=True):
+            rows = _parse(path, lang, source, module, parsers).rows
+            for r in rows:
+                r["module"] = r.get("module") if r["tag"] == "import" else module
+                r["lang"] = lang
+            held += rows
+            chars += len(source)
+            if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield frame(held)
+                held, chars = [], 0
+    if held:
+        yield frame(held)
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """The fact stream of all files but .proto; the one stage that needs Python."""
     parsers = dict(PARSERS)  # goes to the tasks as it is now
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for path, lang, source, module in zip(x["path"], x["lang"], x["source"], x["module_qname"], strict=True):
-                rows = _parse(path, lang, source, module, parsers).rows
-                for r in rows:
-                    r["module"] = r.get("module") if r["tag"] == "import" else module
-                    r["lang"] = lang
-                out = pd.DataFrame(rows, columns=[*schema.COLUMNS, "lang"], dtype=object)
-                out = out.astype({c: "Int64" for c in ("ord", "kind", "confidence", "category", "level", "cell_type")})
-                yield out
-
-    return files.where("lang <> 'proto'").mapInPandas(run, schema.SCHEMA + ", lang string")
+    return files.where("lang <> 'proto'").mapInPandas(lambda batches: _frames(batches, parsers), schema.SCHEMA + ", lang string")
 
 
 def style(lang: str) -> str:
@@ -85,13 +99,14 @@ def build(spark: SparkSession, files: DataFrame, repo: str = "repo", mode: str =
     if mode == "packages":
         folder = F.regexp_replace("module_qname", "::[^:]*$", "")
         files = files.withColumn("module_qname", F.when((F.col("lang") == "go") & F.col("module_qname").contains("::"), folder).otherwise(F.col("module_qname")))
+    files = materialize(spread(files, "path"))  # every extractor reads them again
     facts = materialize(parse_files(files))
     rid = F.lit(repo_id(repo))
     ident = lambda kind, qname: node_ids(rid, kind, qname)
     order = F.xxhash64("path")  # files have no order of their own; this one doesn't change
     node = facts.where("tag = 'node'").select("lang", "kind", "name", "qname", "parent", "confidence", F.struct("path", "ord").alias("o"))
     place = {c: F.col(c) for c in ("kind", "name", "qname", "parent", "confidence")}
-    extra = extract_all(files.select("path", "lang", "source")).join(files.select("path", "lang", F.col("module_qname").alias("parent")), "path").select("lang", *[place[c] for c in ("kind", "name", "qname", "parent", "confidence")], F.struct("path", F.lit(1 << 40).cast("long").alias("ord")).alias("o"))
+    extra = materialize(extract_all(files.select("path", "lang", "source"))).join(files.select("path", "lang", F.col("module_qname").alias("parent")), "path").select("lang", *[place[c] for c in ("kind", "name", "qname", "parent", "confidence")], F.struct("path", F.lit(1 << 40).cast("long").alias("ord")).alias("o"))
     protos = files.where("lang = 'proto'").select("lang", F.lit(1).alias("kind"), F.element_at(F.split("module_qname", "::"), -1).alias("name"), F.col("module_qname").alias("qname"), F.lit(None).cast("string").alias("parent"), F.lit(2).alias("confidence"), F.struct("path", F.lit(0).cast("long").alias("ord")).alias("o"))
     every = materialize(reduce(DataFrame.unionByName, [node, extra, protos]).withColumn("id", ident(F.col("kind"), F.col("qname"))))
     # names to ids within a language; of equal names the first kind
@@ -112,7 +127,7 @@ def build(spark: SparkSession, files: DataFrame, repo: str = "repo", mode: str =
     for lang in sorted(r["lang"] for r in nodes.select("lang").distinct().collect()):
         own = [df.where(F.col("lang") == lang).drop("lang") for df in (nodes, edges, imports, calls, refs)]
         built = resolve.build(*own, style=style(lang), resolve_source=relative_source)
-        parts.append({k: materialize(v.withColumn("graph_key", F.lit(lang))) for k, v in built.items()})
+        parts.append({k: v.withColumn("graph_key", F.lit(lang)) for k, v in built.items()})
     union = lambda k: reduce(DataFrame.unionByName, [p[k] for p in parts])
     merged = union("nodes").withColumn("repo", rid)
     cells = facts.where("tag = 'cell'").select("lang", F.col("qname").alias("a"), "cell_type", F.lit("text").alias("tag"), "text", "ord")
@@ -135,7 +150,7 @@ def _extracted_methods(files: DataFrame, routed: DataFrame, ident) -> DataFrame:
 
 
 def generate(spark: SparkSession, root: str, mode: str = "packages") -> Graph:
-    files = materialize(walk(spark, root))
+    files = walk(spark, root)
     if files.isEmpty():
         raise ValueError(f"nothing to parse under {root}")
     return build(spark, files, root, mode)

@@ -37,3 +37,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of which ``rows`` rows were counted, for the side of a join: broadcast if that is few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to more tasks than there are cores, however few its files or bytes: for rows that cost much each."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from structgraph import ids, queries
 from structgraph.extract import facts as X
 from structgraph.functions import paths as P
-from structgraph.operators import rank, stack, traverse
+from structgraph.operators import post, rank, stack, traverse
 from structgraph.parse.facts import Facts
 from structgraph.plans import build, stats, textproj, tools
 from structgraph.registries import CATEGORY, KIND
+from structgraph.session import spread
 from structgraph.sources import store
 from structgraph.sources.files import describe, walk
 from structgraph.streaming import refresh
@@ -370,3 +371,49 @@ def test_registered_queries_have_columns(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     for name in ("j11_http_links", "j13_queue_links", "j20_tests"):
         assert queries.queries()[name](spark, "/root/testdata/sf0.001").columns == ["src", "dst", "category", "confidence"]
+
+
+def _most_rows(df):
+    """The most rows that an operator of a plan gave, and the result."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = df.select("*")
+        rows, todo, most = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    finally:
+        spark.conf.set(key, was)
+    while todo:
+        plan = todo.pop()
+        counted = plan.metrics().get("numOutputRows")
+        most = max(most, counted.get().value() if counted.isDefined() else 0)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most, rows
+
+
+def test_many_tests_and_modules_of_one_name(spark):
+    n, qnames = 400, []
+    for i in range(n):
+        qnames += [f"r{i}::shop::util", f"r{i}::shop::tests::test_util", f"r{i % 7}::deep{i}::util"]
+    rows = [(i + 1, 1, q, (i * 7919) % 500) for i, q in enumerate([*qnames, "util", "test_util", "x::util_test", "r1::shop::tests::util"])]
+    nodes = spark.createDataFrame(rows, "id long, kind int, qname string, ord long")
+    most, found = _most_rows(post.test_edges(nodes))
+    shared = lambda a, b: len(os.path.commonprefix([a.split("::")[:-1], b.split("::")[:-1]]))
+    want = set()
+    for i, _, q, _ in rows:
+        if q.split("::")[-1] in ("test_util", "util_test"):
+            met = sorted((-shared(q, m), o, j) for j, _, m, o in rows if m.split("::")[-1] == "util")
+            want |= {(i, j, 7, 2) for s, _, j in met[:3] if s == met[0][0]}
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert most < 20 * len(rows)  # all pairs are 320,000
+
+
+def test_small_files_share_frames_and_tasks(spark):
+    import pandas as pd
+
+    files = pd.DataFrame([(f"a{i}.py", "python", "def f(): pass\n", f"a{i}") for i in range(5000)], columns=["path", "lang", "source", "module_qname"])
+    frames = list(build._frames(iter([files[:2500], files[2500:]]), build.PARSERS))
+    assert len(frames) < 10 and sum((f["tag"] == "node").sum() for f in frames) == 10_000
+    assert list(build._frames(iter([files[:0]]), build.PARSERS)) == []
+    one = spark.createDataFrame(files).coalesce(1)
+    assert spread(one, "path").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
