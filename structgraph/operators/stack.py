@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from structgraph.functions import paths as P
 from structgraph.registries import CATEGORY, DROPPABLE, KIND
+from structgraph.session import spread
 
 
 def keyed(nodes: DataFrame, kind: str, prefix: str) -> DataFrame:
@@ -110,16 +111,35 @@ def graphql_links(nodes: DataFrame) -> DataFrame:
     return _pairs_joined(a, b, pairs, "graphql_calls")
 
 
+#: Lots that each side of an all-pairs link is dealt into: their pairs are what tasks share.
+LOTS = 64
+
+
+def _all_pairs(a: DataFrame, b: DataFrame, category: str) -> DataFrame:
+    """Links of every node of ``a`` to every node of ``b``.
+
+    Both are dealt into lots and each lot is one row, so a pair of lots is what
+    is shuffled; its links are only made in the task that gives them, and
+    no task has more than its share of the lots' pairs.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))
+    lot = lambda df, name: df.select(F.pmod(F.xxhash64("id"), F.lit(LOTS)).cast("int").alias(name), F.struct("id", "confidence").alias("n")).groupBy(name).agg(F.collect_list("n").alias(f"{name}s"))
+    x, y = lot(a, "x").withColumn("y", other), lot(b, "y").withColumn("x", other)
+    pairs = spread(x, "x", "y").join(spread(y, "x", "y"), ["x", "y"]).select(F.explode("xs").alias("s"), "ys").select("s", F.explode("ys").alias("t"))
+    return pairs.select(F.col("s.id").alias("src"), F.col("t.id").alias("dst"), F.lit(CATEGORY[category]).alias("category"), F.least("s.confidence", "t.confidence").alias("confidence"))
+
+
 def socket_links(nodes: DataFrame) -> DataFrame:
     """Paths that are equal or end with one another; ``ws`` on either side and handler ``default`` match any."""
     a, b = keyed(nodes, "ws_client", "ws_client:"), keyed(nodes, "ws_handler", "ws:")
+    norm = F.lower(F.btrim("key", F.lit("/")))
+    wild_a, wild_b = norm == "ws", norm.isin("ws", "default")
+    # wild names match every name of the other side by definition
+    wild = _all_pairs(a.where(wild_a), b, "ws_connects").unionByName(_all_pairs(a.where(~wild_a), b.where(wild_b), "ws_connects"))
+    a, b = a.where(~wild_a), b.where(~wild_b)
     x, y = _named(a, "k", F.lower(F.btrim("k", F.lit("/")))), _named(b, "m", F.lower(F.btrim("m", F.lit("/"))))
     pairs = _within(x, "k", y, "m", _ENDS).unionByName(_within(y, "m", x, "k", _ENDS).select("k", "m"))
-    # wild names match every name of the other side by definition
-    wild = F.lit(1).alias("any")
-    pairs = pairs.unionByName(x.where("k_n = 'ws'").select("k", wild).join(y.select("m", wild), "any").select("k", "m"))
-    pairs = pairs.unionByName(y.where("m_n IN ('ws', 'default')").select("m", wild).join(x.select("k", wild), "any").select("k", "m"))
-    return _pairs_joined(a, b, pairs, "ws_connects")
+    return _pairs_joined(a, b, pairs, "ws_connects").unionByName(wild)
 
 
 #: What marks a name as a schema.

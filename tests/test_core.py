@@ -417,3 +417,23 @@ def test_small_files_share_frames_and_tasks(spark):
     assert list(build._frames(iter([files[:0]]), build.PARSERS)) == []
     one = spark.createDataFrame(files).coalesce(1)
     assert spread(one, "path").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_wild_sockets_are_dealt_out(spark):
+    names = [(18, f"ws_client:/c{i}/") for i in range(300)] + [(17, "ws:default")] * 200 + [(18, "ws_client:WS/"), (17, "ws:/ws"), (17, "ws:/a/C7"), (18, "ws_client:default"), (17, "ws:/zz")]
+    rows = [(i + 1, kind, q, i % 3) for i, (kind, q) in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "id long, kind int, qname string, confidence int")
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        found = stack.socket_links(nodes).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    norm = lambda q: q.split(":", 1)[1].strip("/").lower()
+    meet = lambda k, m: k == "ws" or m in ("ws", "default") or k.endswith(m) or m.endswith(k)
+    want = [(i, j, 14, min(c, d)) for i, kind, k, c in rows if kind == 18 for j, other, m, d in rows if other == 17 and meet(norm(k), norm(m))]
+    assert sorted(found[["src", "dst", "category", "confidence"]].itertuples(index=False, name=None)) == sorted(want)
+    assert found.groupby("task").size().max() < len(want) / 4
